@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import ngram_join
 from roadweave.llm.suffix_dedup import digest, suffix_dedup
 
@@ -10,6 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
@@ -19,6 +24,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
@@ -27,6 +33,20 @@ QUERIES = {
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
+    "op1_lm_scoring": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS x(i)),
+        n1 AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+        n2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2),
+        n3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+        s AS (SELECT t.doc_id, i, CASE WHEN n3.n >= 2 THEN 3 WHEN n2.n >= 2 THEN 2 ELSE 1 END AS level,
+            CASE WHEN n3.n >= 2 THEN ln(n3.n) - ln(h2.n) WHEN n2.n >= 2 THEN ln(n2.n) - ln(h1.n) ELSE ln(n1.n) - ln((SELECT count(*) FROM t)) END
+            + ln(0.4) * (least(i, 3) - CASE WHEN n3.n >= 2 THEN 3 WHEN n2.n >= 2 THEN 2 ELSE 1 END) AS score
+            FROM t JOIN n1 ON n1.c = t.c LEFT JOIN n2 ON n2.b = t.b AND n2.c = t.c LEFT JOIN n3 ON n3.a = t.a AND n3.b = t.b AND n3.c = t.c
+            LEFT JOIN n2 h2 ON h2.b = t.a AND h2.c = t.b LEFT JOIN n1 h1 ON h1.c = t.b)
+        SELECT d.doc_id, count(i) AS n_words, count(*) FILTER (level = 3) AS n_trigram, count(*) FILTER (level = 2) AS n_bigram,
+            count(*) FILTER (level = 1) AS n_unigram, round(coalesce(sum(score), 0), 4) AS score
+        FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op10_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
