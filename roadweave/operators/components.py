@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     checkpoint_dir(edges.sparkSession)
     a, b = F.col(u), F.col(v)
     ends = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    ends = ends.distinct().checkpoint()
     loops = ends.where("hi = lo").select(F.col("lo").alias("node"), F.col("lo").alias("component"))
-    links = ends.where("hi <> lo").distinct().checkpoint()
+    links = ends.where("hi <> lo")
     before = None
     for _ in range(rounds):
         # large star: from each node, larger neighbours go to the smallest of the neighbourhood
