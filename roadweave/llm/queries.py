@@ -1,10 +1,13 @@
 """Queries over the synthetic tables, one for each operator, with what SQL can say about them."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import ngram_join
+from roadweave.llm.packing import best_fit_packing
 from roadweave.llm.suffix_dedup import digest, suffix_dedup
+from roadweave.llm.token_codes import token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op6_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -26,6 +37,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op6_token_id_codes": op6_token_id_codes,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
