@@ -3,11 +3,13 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from roadweave.llm.license_scan import license_scan
 from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import ngram_join
 from roadweave.llm.packing import best_fit_packing
 from roadweave.llm.suffix_dedup import digest, suffix_dedup
 from roadweave.llm.token_codes import token_codes
+from roadweave.llm.topk import exact_topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,6 +47,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_license_scan": op5_license_scan,
     "op6_token_id_codes": op6_token_id_codes,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -60,6 +72,11 @@ ORACLE_SQL = {
         SELECT d.doc_id, count(i) AS n_words, count(*) FILTER (level = 3) AS n_trigram, count(*) FILTER (level = 2) AS n_bigram,
             count(*) FILTER (level = 1) AS n_unigram, round(coalesce(sum(score), 0), 4) AS score
         FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "op10_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
