@@ -6,6 +6,8 @@ There every word meets the counts of its trigram, bigrams and unigrams, and scor
 third of all documents hold is one entry per chunk, so no bucket outgrows the number of chunks.
 """
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,16 +23,23 @@ PART = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long
 PART_ARROW = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_words", "n_trigram", "n_bigram", "n_unigram")), ("partial", pa.float64())])
 
 
-def grams_of(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
+def spare_bits(docs: DataFrame) -> int:
+    """Low bits of a hash that the input doesn't need: two n-grams of n share one of 2 log2(n) bits about once in all. At most 64 are left, at least 48."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 64 - min(64, max(48, 2 * (size.bit_length() - 1)))
+
+
+def grams_of(column: pa.Array, spare: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
     """For n of 1, 2, 3 the hashes from each word on and whether they lie in one text; the words' texts; the number of texts."""
     data, offsets = K.text_bytes(column)
     hashes, doc, _ = K.words(data, offsets, K.NOT_SPACE)
-    return [K.ngrams(hashes, doc, n) if len(hashes) >= n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for n in range(1, ORDER + 1)], doc, len(offsets) - 1
+    grams = [K.ngrams(hashes, doc, n) if len(hashes) >= n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for n in range(1, ORDER + 1)]
+    return [(g >> np.uint64(spare) << np.uint64(spare), ok) for g, ok in grams], doc, len(offsets) - 1
 
 
-def _count_blocks(nbuckets: int):
+def _count_blocks(nbuckets: int, spare: int):
     def make(number, chunk):
-        grams, _, _ = grams_of(chunk.column("text"))
+        grams, _, _ = grams_of(chunk.column("text"), spare)
         every = np.sort(np.concatenate([g[ok] for g, ok in grams]))
         if not len(every):
             return
@@ -41,12 +50,12 @@ def _count_blocks(nbuckets: int):
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[b], edges[b + 1])
             more = np.flatnonzero(count[part] > 1)
-            yield b, 1, number, K.joined(K.pack_sorted(every[part]), K.small(more), K.small(count[part][more]))
+            yield b, 1, number, K.joined(K.pack_sorted(every[part] >> np.uint64(spare)), K.small(more), K.small(count[part][more]))
 
     return make
 
 
-def _counts(key, own):
+def _counts(key, own, spare: int = 0):
     """The bucket's part of the table; each chunk gets the counts above one of what it asked for."""
     grams, counts = [], []
     for _, _, payload in own:
@@ -67,12 +76,12 @@ def _counts(key, own):
             yield src, 1, key, K.joined(K.pack_sorted(g[mine > 1]), K.small(mine[mine > 1]))
 
 
-def _score(backoff: float, least: int):
+def _score(backoff: float, least: int, spare: int):
     def make(key, own):
         chunk = text_of(own[0][2])
-        grams, doc, docs = grams_of(chunk.column("text"))
+        grams, doc, docs = grams_of(chunk.column("text"), spare)
         replies = [K.parted(payload, bytes, int) for _, _, payload in own[1:]]  # by bucket, so all ascend
-        table = np.concatenate([np.zeros(0, np.uint64), *(K.unpack_sorted(p[0]) for p in replies)])
+        table = np.concatenate([np.zeros(0, np.uint64), *(K.unpack_sorted(p[0]) for p in replies)]) << np.uint64(spare)
         count = np.concatenate([np.zeros(0, np.int64), *(p[1].astype(np.int64) for p in replies)])
 
         def look_up(gram):
@@ -113,8 +122,9 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
         raise ValueError("least must be 2 or more: all n-grams of the corpus count one at least")
     spark = docs.sparkSession
     source = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)), "doc_id", "text")
-    counted = by_key(by_chunk(source.select("text"), _count_blocks(buckets(spark))), _counts)
-    parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least), PART, PART_ARROW), "scores")
+    spare = spare_bits(source)
+    counted = by_key(by_chunk(source.select("text"), _count_blocks(buckets(spark), spare)), partial(_counts, spare=spare))
+    parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least, spare), PART, PART_ARROW), "scores")
     total = parts.agg(F.sum("n_words")).first()[0] or 1
     score = F.round(F.col("partial") - F.col("n_unigram") * F.log(F.lit(float(total))), 4)
     return parts.select("doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", score.alias("score"))

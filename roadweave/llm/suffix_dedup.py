@@ -204,7 +204,7 @@ def _repeated_keys(key, own, most: int = HOT):
 def _keys(own) -> tuple[np.ndarray, np.ndarray]:
     parts = [K.parted(payload, bytes, bytes) for kind, _, payload in own if kind == 1]
     none = [np.zeros(0, np.uint64)]
-    return tuple(np.sort(np.concatenate(none + [K.unpack_sorted(p[k]) for p in parts if len(p[k]) > 1])) for k in (0, 1))
+    return tuple(np.sort(np.concatenate(none + [K.unpack_sorted(p[k]) for p in parts])) for k in (0, 1))
 
 
 def within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:

@@ -106,19 +106,22 @@ def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as differences of the fewest whole bytes that hold them all."""
+    """Ascending 64-bit integers: the first, then differences of the fewest whole bytes that hold them all."""
     if not len(values):
-        return b"\x08"
-    steps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        return b""
+    steps = np.diff(values)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
     width = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    wide = np.zeros((len(body), 8), np.uint8)
-    wide[:, :width] = body
+    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(body) + 1, 8), np.uint8)
+    wide[1:, :width] = body
+    wide[0] = np.frombuffer(raw, np.uint8, 8, 1)
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
