@@ -10,6 +10,7 @@ from roadweave.llm.packing import best_fit_packing
 from roadweave.llm.suffix_dedup import digest, suffix_dedup
 from roadweave.llm.token_codes import token_codes
 from roadweave.llm.topk import exact_topk
+from roadweave.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_token_id_codes": op6_token_id_codes,
     "op7_best_fit_packing": op7_best_fit_packing,
