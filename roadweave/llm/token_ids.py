@@ -3,9 +3,13 @@
 import os
 import re
 from array import array
+from itertools import compress
+from operator import not_
+
+import numpy as np
 
 #: Pieces kept by a worker, and the longest one kept; when full, the store starts anew.
-KEPT, LONGEST = 500_000, 48
+KEPT, LONGEST = 1_500_000, 48
 #: Stand-ins for what is cut off words: stops and commas after a letter or digit, single line ends; NO_SPACE: no space before.
 STOP_LINE, COMMA, STOP, NO_SPACE, LINE = "\x01\x02\x03\x04\x05"
 TAKEN = (STOP_LINE, COMMA, STOP, NO_SPACE, LINE)
@@ -30,6 +34,28 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.bars = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a | b", "a|b")]
+        self.bars = [x[1] if len(x) == 3 else None for x in self.bars]
+
+    def encode_apart(self, pieces: list[str], spaced: bool) -> list[bytes]:
+        """Ids of pieces as one text with bars between, where a bar is always an id of its own. No piece holds a bar."""
+        bar = self.bars[0 if spaced else 1]
+        if bar is None:
+            return self.encode([" " + p for p in pieces] if spaced else pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " | ".join(pieces) if spaced else "|".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == bar).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+
+    def encode_fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        spaced = [p for p in pieces if p and p[0] not in TAKEN and "|" not in p]
+        after = [p for p in pieces if p[:1] == NO_SPACE and p[1:2].isalpha() and p[-1].isalpha() and "|" not in p]
+        out = dict(zip(spaced, self.encode_apart(spaced, True), strict=True)) if spaced else {}
+        if after:
+            out.update(zip(after, self.encode_apart([p[1:] for p in after], False), strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self.encode([RAW.get(p) or (p[1:] if p[:1] == NO_SPACE else " " + p) for p in rest])) if rest else ())
+        return out
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -48,15 +74,17 @@ class TokenIds:
                 out.append(self.encode([text])[0] if text else b"")
                 continue
             pieces = self.pieces(text)
-            fresh = set(pieces).difference(self.known)
-            if len(self.known) + len(fresh) > KEPT:
-                self.known, fresh = {}, set(pieces)
-            fresh = list(fresh)
-            self.known.update(zip(fresh, self.encode([RAW.get(p) or (p[1:] if p[:1] == NO_SPACE else " " + p) for p in fresh])))
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-            for p in fresh:
-                if len(p) > LONGEST:
-                    del self.known[p]
+            found = list(map(self.known.get, pieces))
+            missing = list(compress(range(len(found)), map(not_, found)))
+            if missing:
+                fresh = {pieces[k] for k in missing}
+                if len(self.known) + len(fresh) > KEPT:
+                    self.known.clear()
+                fresh = self.encode_fresh(list(fresh))
+                for k in missing:
+                    found[k] = fresh[pieces[k]]
+                self.known.update(fresh if max(map(len, fresh)) <= LONGEST else {p: ids for p, ids in fresh.items() if len(p) <= LONGEST})
+            out.append(b"".join(found))
         return out
 
 
