@@ -3,6 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from roadweave.llm.decontam import decontaminate
+from roadweave.llm.langid import language
 from roadweave.llm.license_scan import license_scan
 from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import ngram_join
@@ -45,6 +47,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.where("leaked = 1").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +68,8 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_token_id_codes": op6_token_id_codes,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
