@@ -6,8 +6,6 @@ There every word meets the counts of its trigram, bigrams and unigrams, and scor
 third of all documents hold is one entry per chunk, so no bucket outgrows the number of chunks.
 """
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +35,16 @@ def grams_of(column: pa.Array, spare: int) -> tuple[list[tuple[np.ndarray, np.nd
     return [(g >> np.uint64(spare) << np.uint64(spare), ok) for g, ok in grams], doc, len(offsets) - 1
 
 
+def distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a chunk, ascending, and how often it has each."""
+    every = np.sort(np.concatenate([g[ok] for g, ok in grams]))
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(first, append=len(every))
+
+
 def _count_blocks(nbuckets: int, spare: int):
     def make(number, chunk):
-        grams, _, _ = grams_of(chunk.column("text"), spare)
-        every = np.sort(np.concatenate([g[ok] for g, ok in grams]))
-        if not len(every):
-            return
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        count, every = np.diff(first, append=len(every)), every[first]
+        every, count = distinct(grams_of(chunk.column("text"), spare)[0])
         bucket = (every >> np.uint64(40)) * np.uint64(nbuckets) >> np.uint64(24)
         edges = np.searchsorted(bucket, np.arange(nbuckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -55,8 +55,8 @@ def _count_blocks(nbuckets: int, spare: int):
     return make
 
 
-def _counts(key, own, spare: int = 0):
-    """The bucket's part of the table; each chunk gets the counts above one of what it asked for."""
+def _counts(key, own):
+    """The bucket's part of the table; each chunk gets the counts of what it asked for, a byte each, larger ones apart."""
     grams, counts = [], []
     for _, _, payload in own:
         packed, more, count = K.parted(payload, bytes, int, int)
@@ -72,23 +72,29 @@ def _counts(key, own, spare: int = 0):
     for (_, src, _), g in zip(own, grams):
         mine = total[at : at + len(g)]
         at += len(g)
-        if (mine > 1).any():
-            yield src, 1, key, K.joined(K.pack_sorted(g[mine > 1]), K.small(mine[mine > 1]))
+        large = np.flatnonzero(mine > 255)
+        yield src, 1, key, K.joined(np.minimum(mine, 255).astype(np.uint8), K.small(large), K.small(mine[large]))
 
 
 def _score(backoff: float, least: int, spare: int):
     def make(key, own):
         chunk = text_of(own[0][2])
         grams, doc, docs = grams_of(chunk.column("text"), spare)
-        replies = [K.parted(payload, bytes, int) for _, _, payload in own[1:]]  # by bucket, so all ascend
-        table = np.concatenate([np.zeros(0, np.uint64), *(K.unpack_sorted(p[0]) for p in replies)]) << np.uint64(spare)
-        count = np.concatenate([np.zeros(0, np.int64), *(p[1].astype(np.int64) for p in replies)])
+        table, _ = distinct(grams)
+        count = [np.zeros(0, np.int64)]
+        for _, _, payload in own[1:]:  # by bucket, so in the order of the table
+            low, at, large = K.parted(payload, int, int, int)
+            count.append(low.astype(np.int64))
+            count[-1][at] = large
+        count = np.concatenate(count)
+        if len(count) != len(table):
+            raise RuntimeError(f"chunk {key}: {len(table)} n-grams asked for, {len(count)} answered")
 
         def look_up(gram):
             if not len(table):
                 return np.ones(len(gram), np.int64)
-            at = np.minimum(np.searchsorted(table, gram), len(table) - 1)
-            return np.where(table[at] == gram, count[at], 1)
+            at = np.minimum(np.searchsorted(table, gram), len(table) - 1)  # what crosses texts isn't in it and isn't used
+            return count[at]
 
         size = len(doc)
         one, two, three = (look_up(g) for g, _ in grams)
@@ -123,7 +129,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
     spark = docs.sparkSession
     source = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)), "doc_id", "text")
     spare = spare_bits(source)
-    counted = by_key(by_chunk(source.select("text"), _count_blocks(buckets(spark), spare)), partial(_counts, spare=spare))
+    counted = by_key(by_chunk(source.select("text"), _count_blocks(buckets(spark), spare)), _counts)
     parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least, spare), PART, PART_ARROW), "scores")
     total = parts.agg(F.sum("n_words")).first()[0] or 1
     score = F.round(F.col("partial") - F.col("n_unigram") * F.log(F.lit(float(total))), 4)

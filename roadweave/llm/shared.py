@@ -121,7 +121,7 @@ def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Sche
 def text_blocks(number: int, chunk: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
     """The chunk itself, for the tasks that gather what was found out about it. Kind 0: it comes before all replies."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+    with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_batch(chunk)
     yield number, 0, number, sink.getvalue().to_pybytes()
 
