@@ -5,14 +5,19 @@ with jitter, wrong latitudes, jumps and repeated rows. A street graph follows fr
 """
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import geo, polyline
 from roadweave.operators import clean, density, graph, spatial
+from roadweave.operators.components import checkpoint_dir
+from roadweave.plans.inference import build_roads
+from roadweave.plans.params import Params
 from roadweave.sources import sinks
 from roadweave.sources.tables import synthesize_times
+from roadweave.streaming import fixes as streaming
 
 METRES_A_DEGREE, SHRINK = 111320.0, 0.7071067811865476
 QUERIES: dict = {}
@@ -35,7 +40,11 @@ def query(sql: str | None = None):
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    events = events.select("event_id", "ts", "user_id", "event_type", "value")
     rows = events.union(events.where("event_id % 50 = 0"))
     t = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.lit(1704067200.0)) / F.lit(600.0)
     rows = rows.withColumn("t", t).withColumn("s0", F.col("user_id") * F.lit(137.0) + F.col("t") * F.lit(8.0))
@@ -650,3 +659,42 @@ def graphml_lines(spark, sf_dir):
     nodes, edges = streets(spark, sf_dir)
     lines = sinks.graphml_lines(nodes, edges).where("part in (1, 2)")
     return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("letters"))
+
+
+# ---- whole runs and streams
+
+
+def road_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("edge", "u", "v", F.size("coords").alias("points"), F.round("length", 3).alias("length"), "frequency", "road_class", "reconstructed", "n_devices")
+
+
+@query()
+def infer_roads_slide(spark, sf_dir):
+    p = Params(cell_tau=10.0, sigma1=2.0, sigma2=1.0, resample_k=20.0, slide_min_loops=10, slide_max_loops=40, eps_mode="percentile", eps_percentile=50.0, spur_min_m=30.0, smooth_iters=1)
+    return road_rows(build_roads(fixes(spark, sf_dir).where("lat < 45.2 or lat > 90"), p).edges)
+
+
+@query()
+def infer_roads_kde(spark, sf_dir):
+    p = Params(method="kde", cell_tau=10.0, kde_radius=15.0, gap_buffer_m=10.0, eps_mode="percentile", eps_percentile=60.0, fill_holes_m=30.0, loop_min_m=40.0, edge_f_min=1, edge_l_min=50.0, smooth_iters=2)
+    return road_rows(build_roads(fixes(spark, sf_dir).where("lat < 45.2 or lat > 90"), p).edges)
+
+
+def streamed(spark, sf_dir, make, mode="append") -> DataFrame:
+    """All that a stream of the events has given when they are through."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(table).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = make(from_events(source))
+    out.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(f"WITH {FIXES} SELECT {FIX} FROM u")
+def stream_deduplicate(spark, sf_dir):
+    return fix_rows(streamed(spark, sf_dir, streaming.deduplicated))
+
+
+@query()
+def stream_thin(spark, sf_dir):
+    return fix_rows(streamed(spark, sf_dir, lambda s: streaming.thinned(streaming.deduplicated(s))))
