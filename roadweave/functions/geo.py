@@ -36,7 +36,8 @@ ECCENTRICITY = (FLATTENING * (2 - FLATTENING)) ** 0.5
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres between two points in degrees, null if one is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2.0)
-    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    # least and greatest pass over nulls
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a)))))
 
 
 def valid_lat(lat) -> Column:

@@ -264,8 +264,8 @@ def stitches(nodes: DataFrame, edges: DataFrame, max_dist: float, k: int = 7, ro
             break
         chosen = chosen.unionByName(picked.select(*chosen.columns)).checkpoint()
         links = picked.join(left, "a").join(right, "b").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-        to = connected_components(links)
-        own = own.join(to, F.col("component") == F.col("node"), "left").select("id", F.coalesce(to["component"], own["component"]).alias("component")).checkpoint()
+        to = connected_components(links).withColumnRenamed("component", "to")
+        own = own.join(to, F.col("component") == F.col("node"), "left").select("id", F.coalesce("to", "component").alias("component")).checkpoint()
     return chosen.select("a", "b")
 
 

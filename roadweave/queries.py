@@ -110,7 +110,8 @@ u AS (SELECT DISTINCT device, us, lat, lon FROM valid)"""
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371008.8e0 * asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))))"
+    square = f"pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)"
+    return f"(CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371008.8e0 * asin(sqrt(least(1e0, greatest(0e0, {square})))) END)"
 
 
 W = "OVER (PARTITION BY device ORDER BY us, lat, lon)"

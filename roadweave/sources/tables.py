@@ -102,7 +102,7 @@ def read_csv(spark: SparkSession, paths: list[str], given: dict[str, str] | None
         sep = sniff_delimiter(header)
         names = [normal_name(n) or f"_{k}" for k, n in enumerate(header.lstrip("﻿").split(sep))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_broken", T.StringType())])
-        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(sorted(own))
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_broken").csv(sorted(own))
         wide = F.coalesce(F.size(F.split("_broken", re.escape(sep))) > len(names), F.lit(False))
         parts.append(normalize(rows.where(~wide).drop("_broken"), given))
     return reduce(DataFrame.unionByName, parts) if parts else empty(spark)
