@@ -25,7 +25,7 @@ from roadweave.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles of a component that one task takes; larger components are searched shard by shard.
-GROUP_SHINGLES = 1 << 21
+GROUP_SHINGLES = 1 << 20
 #: A chunk sends no more than so many documents with the same shingle by name; beyond, only their number.
 HOT = 32
 
@@ -251,19 +251,37 @@ class Forest:
         return a != b
 
 
-def t_occurrence(query: np.ndarray, lists: dict, t: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Lists:
+    """Inverted lists of sets' shingles, as arrays: of each shingle the members that have it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        member = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.member = flat[order], member[order]
+        self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.grams, self.ends = flat[self.first], np.append(self.first[1:], len(flat))
+
+    def of(self, query: np.ndarray) -> list[np.ndarray]:
+        """The lists of a set's shingles, shortest first."""
+        at = np.searchsorted(self.grams, query)
+        lo, hi = self.first[at], self.ends[at]
+        return [self.member[lo[k] : hi[k]] for k in np.argsort(hi - lo, kind="stable").tolist()]
+
+
+def t_occurrence(query: np.ndarray, lists: Lists, t: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least t of the query's lists, and in how many they are (DivideSkip). ``skip``: members that don't matter.
 
     The longest lists, fewer than t, are only probed: a member of t lists is in one of the others at least.
     """
-    own = sorted((lists[g] for g in query.tolist() if g in lists), key=len)
+    own = lists.of(query)
     if len(own) < t:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     longest = len(own[-1])
     n_long = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1)))
     short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-    merged = np.sort(np.concatenate(short), kind="stable")  # all short lists ascend: merging runs
-    merged = merged[~skip[merged]]
+    merged = np.concatenate(short)
+    merged = np.sort(merged[~skip[merged]], kind="stable")  # all short lists ascend: merging runs
     found, count = np.unique(merged, return_counts=True)
     kept = count >= t - n_long
     found, count = found[kept], count[kept]
@@ -280,12 +298,7 @@ def t_occurrence(query: np.ndarray, lists: dict, t: int, skip: np.ndarray) -> tu
 def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, queries: range | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets: pairs with 100 * overlap >= percent * union. ``sizes`` counts shingles nobody shares too."""
     order = np.argsort(sizes, kind="stable")
-    flat = np.concatenate([sets[k] for k in order]) if len(sets) else np.zeros(0, np.uint64)
-    member = np.repeat(np.arange(len(order)), [len(sets[k]) for k in order])
-    by_gram = np.lexsort((member, flat))
-    grams, member = flat[by_gram], member[by_gram]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    lists = {g: member[a:b] for g, a, b in zip(grams[first].tolist(), first, np.append(first[1:], len(grams)))}
+    lists = Lists([sets[k] for k in order])
     ordered, forest, links = sizes[order], Forest(len(order)), []
     root = np.arange(len(order))
     for k in range(len(order)):

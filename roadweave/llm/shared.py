@@ -1,5 +1,6 @@
 """The shared folder, chunks of documents, and blocks of rows that are dealt out by a key."""
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,11 +84,20 @@ def batched(rows: Iterator[tuple[int, int, int, bytes]], most: int = 4 << 20) ->
         yield blocks(ready)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_chunk(docs: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     """The blocks that ``make`` gives for every chunk."""
 
     def run(batches):
         yield from batched(row for number, chunk in chunks(batches) for row in make(number, chunk))
+        give_back()
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -113,6 +123,7 @@ def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Sche
         else:
             for key, own in groups(batches):
                 yield from make(key, own)
+        give_back()
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key").sortWithinPartitions("key", "kind", "src").mapInArrow(run, schema)
