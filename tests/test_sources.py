@@ -89,3 +89,26 @@ def test_written_files(spark, tmp_path):
     assert [json.loads(r["value"])["stats"] for r in spark.read.text(str(tmp_path / "runs")).collect()] == [{"edges": 2}] * 2
     a, e = graph.line_graph(spark.createDataFrame([(0, line), (1, line[::-1])], "edge long, coords array<struct<x: double, y: double>>"))
     assert a.count() == 2 and e.where("u <> v").count() == 2
+
+
+def test_vector_files(spark, tmp_path):
+    import sqlite3
+
+    line = [{"x": 134.0, "y": 45.0}, {"x": 134.5, "y": 45.5}]
+    found = graph.features(spark.createDataFrame([(0, 1, 2, line, 1.23456, 3)], graph.EDGE))
+    (path,) = sinks.write_vector(found, str(tmp_path / "roads.gpkg"))
+    row = sqlite3.connect(path).execute("SELECT id, frequency, geom FROM roads").fetchone()
+    assert row[:2] == (0, 3) and struct.unpack("<2d", row[2][17:33]) == (134.0, 45.0)
+    parts = sinks.write_vector(found, str(tmp_path / "roads.shp"))
+    assert len(parts) == 4 and [(r["lon"], r["lat"]) for r in tables.read_shp(spark, [parts[0]]).orderBy("lon").collect()] == [(134.0, 45.0), (134.5, 45.5)]
+    with pytest.raises(ValueError):
+        sinks.write_vector(found, "roads.doc")
+
+
+def test_run_log(tmp_path):
+    from roadweave.plans import runlog
+
+    log = runlog.file_logger(str(tmp_path), "test-log")
+    log.info(runlog.stage_line("clean", 1.25, rows=3))
+    assert runlog.file_logger(str(tmp_path), "test-log").handlers == log.handlers and "clean 1.2 s rows=3" in (tmp_path / "test-log.log").read_text()
+    assert runlog.params_line({"a": 1, "b": 2}, {"a": 1, "b": 1}) == "b=2" and runlog.head_line("1", "x", {"spark": "4"}).endswith("spark 4")
