@@ -15,7 +15,7 @@ from roadweave.operators import clean, density, graph, spatial
 from roadweave.operators.components import checkpoint_dir
 from roadweave.plans.inference import build_roads
 from roadweave.plans.params import Params
-from roadweave.sources import sinks
+from roadweave.sources import sinks, tables
 from roadweave.sources.tables import synthesize_times
 from roadweave.streaming import fixes as streaming
 
@@ -699,3 +699,39 @@ def stream_deduplicate(spark, sf_dir):
 @query()
 def stream_thin(spark, sf_dir):
     return fix_rows(streamed(spark, sf_dir, lambda s: streaming.thinned(streaming.deduplicated(s))))
+
+
+# ---- sources and checkpoints
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {FIXES} SELECT device, us // 1000000 * 1000000 AS time_us, round(lat, 7) AS lat, round(lon, 7) AS lon FROM fixes")
+def read_delimited(spark, sf_dir):
+    at = scratch(spark, "csv")
+    raw = fixes(spark, sf_dir).select(F.col("device").alias("device_id"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("navigation_dttm"), "lat", "lon")
+    raw.write.option("header", True).option("sep", ";").csv(f"{at}/2024-01")
+    paths = [r["path"] for r in tables.list_files(spark, at).collect()]
+    return fix_rows(tables.load(spark, paths))
+
+
+@query(f"WITH {FIXES}{FLAT}{STREETS} SELECT CAST(edge AS VARCHAR) AS line, CAST(2 AS BIGINT) AS points, round(x1 / 100 + x2 / 100, 6) AS x, round(y1 / 100 + y2 / 100, 6) AS y FROM edge")
+def geojson_roundtrip(spark, sf_dir):
+    edges = streets(spark, sf_dir)[1].withColumn("coords", F.transform("coords", lambda p: polyline.point(p["x"] / 100, p["y"] / 100)))
+    at = scratch(spark, "geojson")
+    sinks.write_geojson(graph.features(edges), at)
+    return tables.read_geojson(spark, [at]).groupBy(F.col("device").alias("line")).agg(F.count("*").alias("points"), F.round(F.sum("lon"), 6).alias("x"), F.round(F.sum("lat"), 6).alias("y"))
+
+
+@query(f"WITH {FIXES}{TRACKS} SELECT track_id, count(*) AS points, round(sum(x), 2) AS x FROM tracks GROUP BY 1")
+def checkpoint_roundtrip(spark, sf_dir):
+    at = scratch(spark, "tracks")
+    sinks.save_tracks(flat_tracks(spark, sf_dir), at, "plane")
+    return tables.load_tracks(spark, at).groupBy("track_id").agg(F.count("*").alias("points"), F.round(F.sum("x"), 2).alias("x"))
+
+
+@query(f"WITH {FIXES} SELECT count(*) FILTER (lat BETWEEN -90 AND 90) AS lat_ok, count(*) FILTER (lon BETWEEN -180 AND 180) AS lon_ok FROM fixes")
+def valid_ranges(spark, sf_dir):
+    return fixes(spark, sf_dir).agg(F.count(F.when(geo.valid_lat("lat"), 1)).alias("lat_ok"), F.count(F.when(geo.valid_lon("lon"), 1)).alias("lon_ok"))

@@ -266,7 +266,7 @@ GEOMETRY = "type string, coordinates string"
 
 def geojson_geometries(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(_file, _k, device, time, kind, coordinates as JSON) of each feature, of collections or one a line."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("_file"), "value")
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
     feature = "struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>"
     whole = F.from_json("value", f"struct<features: array<{feature}>>")["features"]
     lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, feature))
