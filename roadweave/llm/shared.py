@@ -84,8 +84,14 @@ def batched(rows: Iterator[tuple[int, int, int, bytes]], most: int = 4 << 20) ->
         yield blocks(ready)
 
 
+#: What else a worker remembers between tasks of one operator; another operator's tasks drop it.
+HELD: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Returns freed memory to the machine: a worker that waits for its next task holds none of the last one's."""
+    for forget in HELD:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -96,6 +102,7 @@ def by_chunk(docs: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[tup
     """The blocks that ``make`` gives for every chunk."""
 
     def run(batches):
+        give_back()
         yield from batched(row for number, chunk in chunks(batches) for row in make(number, chunk))
         give_back()
 
@@ -118,6 +125,7 @@ def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Sche
             yield key, own
 
     def run(batches):
+        give_back()
         if schema == BLOCK:
             yield from batched(row for key, own in groups(batches) for row in make(key, own))
         else:

@@ -8,6 +8,8 @@ from operator import not_
 
 import numpy as np
 
+from roadweave.llm.shared import HELD
+
 #: Pieces kept by a worker, and the longest one kept; when full, the store starts anew.
 KEPT, LONGEST = 1_500_000, 48
 #: Stand-ins for what is cut off words: stops and commas after a letter or digit, single line ends; NO_SPACE: no space before.
@@ -19,6 +21,7 @@ UNEVEN_STOP, TWO_SPACES = re.compile(r"[.,](?:(?<=[\W_].)|(?<=^.))[ \n]"), re.co
 CUT = re.compile(r"(?<!^) (?=\S)")
 
 _loaded: dict[str, "TokenIds"] = {}
+HELD.append(_loaded.clear)
 
 
 class TokenIds:
