@@ -234,23 +234,6 @@ def _candidates(percent: int):
     return make
 
 
-class Forest:
-    """Disjoint sets of 0 .. n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 class Lists:
     """Inverted lists of sets' shingles, as arrays: of each shingle the members that have it, ascending."""
 
@@ -295,11 +278,11 @@ def t_occurrence(query: np.ndarray, lists: Lists, t: int, skip: np.ndarray) -> t
     return found, count
 
 
-def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, queries: range | None = None) -> list[tuple[int, int]]:
+def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets: pairs with 100 * overlap >= percent * union. ``sizes`` counts shingles nobody shares too."""
     order = np.argsort(sizes, kind="stable")
     lists = Lists([sets[k] for k in order])
-    ordered, forest, links = sizes[order], Forest(len(order)), []
+    ordered, links = sizes[order], []
     root = np.arange(len(order))
     for k in range(len(order)):
         n = int(ordered[k])
@@ -309,10 +292,10 @@ def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int, queries
             continue
         found, overlap = t_occurrence(sets[order[k]], lists, max(1, int(need(np.int64(n), percent))), skip)
         for other in found[100 * overlap >= percent * (n + ordered[found] - overlap)].tolist():
-            if forest.join(k, other):
+            a, b = sorted((int(root[k]), int(root[other])))
+            if a != b:
+                root[root == b] = a
                 links.append((int(order[k]), int(order[other])))
-        if len(found):
-            root = np.array([forest.find(x) for x in range(len(order))])
     return links
 
 
