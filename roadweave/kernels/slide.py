@@ -35,13 +35,26 @@ def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v / np.where(size > 1e-12, size, 1.0)[..., None] * (size > 1e-12)[..., None], size
 
 
+#: Points of tracks, padded to the longest of them, that move together.
+TOGETHER = 20_000
+
+
 def slide(tracks: list[np.ndarray], values: np.ndarray, ox: float, oy: float, cell: float, weights=WEIGHTS, rounds=ROUNDS) -> list[np.ndarray]:
-    """The tracks after moving; those with fewer than three points stay."""
+    """The tracks after moving; those with fewer than three points stay. Tracks of about one length move together."""
     out = [t.copy() for t in tracks]
-    who = [k for k, t in enumerate(tracks) if len(t) >= 3]
-    if not who:
-        return out
-    gx, gy = slopes(values)
+    slope = slopes(values)
+    some: list[int] = []
+    for k in [*sorted((k for k, t in enumerate(tracks) if len(t) >= 3), key=lambda k: len(tracks[k])), None]:
+        if some and (k is None or (len(some) + 1) * len(tracks[k]) > TOGETHER):
+            _move(some, tracks, out, values, slope, ox, oy, cell, weights, rounds)
+            some = []
+        if k is not None:
+            some.append(k)
+    return out
+
+
+def _move(who, tracks, out, values, slope_fields, ox, oy, cell, weights, rounds) -> None:
+    gx, gy = slope_fields
     size = np.array([len(tracks[k]) for k in who])
     pts = np.zeros((len(who), int(size.max()), 2))
     for row, k in enumerate(who):
@@ -87,4 +100,3 @@ def slide(tracks: list[np.ndarray], values: np.ndarray, ox: float, oy: float, ce
             if not len(who):
                 break
             pts, move = pts[:, : int(size.max())], move[:, : int(size.max())]
-    return out
