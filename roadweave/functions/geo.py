@@ -122,13 +122,13 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy, margin: float = 1e-6) -> tupl
 
 def in_rings(lon: Column, lat: Column, rings: list[list[tuple[float, float]]]) -> Column:
     """Whether a point lies inside an odd number of rings: holes and several polygons are rings too. Rings close themselves."""
-    inside = F.lit(False)
+    crossed = F.lit(0)
     for ring in rings:
         for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
             if y1 != y2:
                 crosses = ((F.lit(float(y1)) > lat) != (F.lit(float(y2)) > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
-                inside = inside != crosses
-    return inside
+                crossed = crossed + crosses.cast("int")
+    return crossed % 2 == 1
 
 
 def road_class(frequency: Column, low: Column, middle: Column, high: Column) -> Column:
