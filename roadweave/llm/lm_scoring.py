@@ -129,7 +129,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
     spark = docs.sparkSession
     source = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)), "doc_id", "text")
     spare = spare_bits(source)
-    counted = by_key(by_chunk(source.select("text"), _count_blocks(buckets(spark), spare)), _counts)
+    counted = by_key(by_chunk(source, _count_blocks(buckets(spark), spare)), _counts)
     parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least, spare), PART, PART_ARROW), "scores")
     total = parts.agg(F.sum("n_words")).first()[0] or 1
     score = F.round(F.col("partial") - F.col("n_unigram") * F.log(F.lit(float(total))), 4)

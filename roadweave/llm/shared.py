@@ -51,7 +51,10 @@ def scanned(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows with at most CHUNK_BYTES of text, each with a number of its own that is the same in each scan."""
+    """Runs of rows with at most CHUNK_BYTES of text, each with a number of its own that is the same in each scan of the same columns.
+
+    Spark ends a batch by its rows and by the bytes of all its columns, so a scan of other columns cuts elsewhere.
+    """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

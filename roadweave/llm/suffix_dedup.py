@@ -350,7 +350,7 @@ def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: i
     carried = [c for c in keep if c != "text"]
     source = scanned(docs.select(*carried, text(docs)), *carried, "text")
     texts = source.mapInArrow(_text_rows, BLOCK)
-    counted = by_key(by_chunk(source.select("text"), _count_keys(buckets(spark), length, gram)), partial(_repeated_keys, most=hot))
+    counted = by_key(by_chunk(source, _count_keys(buckets(spark), length, gram)), partial(_repeated_keys, most=hot))
     sent = by_key(texts.union(counted), _send_pieces(buckets(spark), length, gram))
     found = by_key(sent, _build(length))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -97,6 +97,25 @@ def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup(no_docs).count() == 0
 
 
+def test_chunks_are_the_same_rows_in_both_scans(spark, tmp_path):
+    """Batches end by the bytes of all columns: what is counted and what is cut must be the same rows."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 999, 90))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, rng.integers(20, 300))) + (" " + passage if k % 3 == 0 else "") for k in range(150)]
+    spark.createDataFrame([(k, "x" * 3000, t) for k, t in enumerate(texts)], "doc_id long, source string, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 20_000)
+    try:
+        got = {r["doc_id"]: tuple(r)[1:] for r in digest(suffix_dedup(frame, ("doc_id", "source"))).collect()}
+        scored = {r["doc_id"]: (r["n_words"], r["n_trigram"], r["n_bigram"], r["n_unigram"], r["score"]) for r in stupid_backoff(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert got == dict(enumerate(repeats(texts, 400)))
+    want = list(backoff(texts))
+    assert {k: x[:-1] for k, x in scored.items()} == {k: x[:-1] for k, x in enumerate(want)}
+    assert all(abs(scored[k][-1] - x[-1]) < 1e-3 for k, x in enumerate(want))
+
+
 def links(texts):
     sets = []
     for t in texts:
