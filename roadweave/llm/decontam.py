@@ -1,13 +1,16 @@
 """Benchmark items in training texts: BM25 over an inverted index of the items, block-max WAND, then both parts verified.
 
 The items are the indexed side and every passage of every document is a query, so only the index travels: in blocks of ITEMS items
-at most, each broadcast by itself. Passages are windows of twice the longest item's words, a window starting every longest item, so an item
-copied whole lies whole in one. Scores are shares of an item's score against itself.
+at most, each broadcast by itself. Passages are windows of two strides, a stride being the longest item's span, a window starting every stride,
+so the span of any item lies whole in one. Scores are shares of an item's score against itself.
 
 Bounds come first, for a chunk's passages at once: terms that few items hold give each passage, per group of GROUP items, the sum of their largest
 weights there; the frequent terms together add at most a constant. A passage whose bounds all stay under the threshold holds no item. The others go
 through the posting lists with pivots (WAND), skipping groups whose block maxima can't reach the threshold. All items at or above it are
 found.
+
+Passages only retrieve. A pair is judged within spans of SPAN times the item's own words, whatever other items are in the block: the span's words
+must reach the threshold, and question and answer count the words that stand there in their order.
 """
 
 import re
@@ -23,6 +26,8 @@ from roadweave.llm.shared import chunks, text
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs, and share of the weight of question and answer each.
 THRESHOLD, OVERLAP = 0.6, 0.6
+#: Words of a span for each word of the item, for words put in between.
+SPAN = 1.5
 ITEMS, GROUP = 1024, 8
 SENTENCE = re.compile(r"[.!?](?:\s+)(?=\S)")
 
@@ -51,7 +56,8 @@ class Index:
         words = term_lists(texts)
         full = [k for k, w in enumerate(words) if len(w)]
         self.ids, words = [ids[k] for k in full], [words[k] for k in full]
-        self.longest = max(map(len, words), default=1)
+        self.spans = [int(np.ceil(SPAN * len(w))) for w in words]
+        self.stride = max(self.spans, default=1)
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
         n, size = len(self.terms), len(words)
         idf = np.array([np.log(1 + (total - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in self.terms])
@@ -77,12 +83,13 @@ class Index:
         self.rest = np.zeros(groups * GROUP, np.float32)
         self.rest[:size] = reach
         self.rest = self.rest.reshape(groups, GROUP).max(axis=1) if groups else self.rest
-        self.halves = []
-        for k in full:
+        self.own = [(at := np.flatnonzero(weight[:, k]), weight[at, k].astype(np.float64)) for k in range(size)]
+        self.halves = []  # words of question and answer in order, as places among the item's own terms, and their weights
+        for k, (own, _) in zip(full, self.own):
             pair = []
             for part in parts(texts[k]):
-                own = np.unique(np.searchsorted(self.terms, term_lists([part])[0]))
-                pair.append((own, idf[own]))
+                at = np.searchsorted(self.terms, term_lists([part])[0])
+                pair.append((np.searchsorted(own, at), idf[at]))
             self.halves.append(pair)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +139,59 @@ class Index:
                     x[2] += 1
 
 
+def in_order(words: np.ndarray, weights: np.ndarray, found: np.ndarray) -> float:
+    """The most weight of words that stand among the found ones in the same order, as a share."""
+    if not len(words):
+        return 1.0
+    best = np.zeros(len(found) + 1)
+    for word, weight in zip(words.tolist(), weights.tolist()):
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(found == word, best[:-1] + weight, 0)))
+    return round(float(best[-1] / weights.sum()), 9)
+
+
+def best_span(index: Index, item: int, place: np.ndarray, term: np.ndarray, before: int, threshold: float) -> tuple[float, float, float, int] | None:
+    """(score, question overlap, answer overlap, first word) of the span that verifies an item best, of those at or above the threshold.
+
+    ``place`` and ``term``: a passage's words that items hold. Spans begin at one of the item's words, at a place before ``before``.
+    """
+    own, weight = index.own[item]
+    mine = np.isin(term, own)
+    place, word = place[mine], np.searchsorted(own, term[mine])
+    starts = int(np.searchsorted(place, before))
+    ends = np.searchsorted(place, place[:starts] + index.spans[item])
+    seen = np.zeros((len(word) + 1, len(own)), np.int32)
+    seen[np.arange(len(word)) + 1, word] = 1
+    seen = np.cumsum(seen, axis=0)
+    present = seen[ends] > seen[:starts]
+    score = present @ weight
+    bound = np.ones(starts)  # words in any order
+    for words, weights in index.halves[item]:
+        if len(words):
+            bound = np.minimum(bound, present @ np.bincount(words, weights, len(own)) / weights.sum())
+    best = None
+    for k in np.lexsort((-score, -bound)).tolist():
+        if best and bound[k] <= min(best[1:3]) + 1e-9:
+            break
+        if score[k] >= threshold - 1e-5:
+            shares = [in_order(*half, word[k : ends[k]]) for half in index.halves[item]]
+            if not best or min(shares) > min(best[1:3]):
+                best = (min(1.0, float(score[k])), *shares, int(place[k]))
+    return best
+
+
 def search(index: Index, column: pa.Array, threshold: float) -> list[tuple[int, int, float, float, float, int]]:
-    """(row, item, score, question overlap, answer overlap, first word of the passage) for the best passage of each pair."""
+    """(row, item, score, question overlap, answer overlap, first word of the span) for the best span of each pair."""
     data, offsets = K.text_bytes(column)
     hashes, doc, _ = K.words(data, offsets, K.ALNUM)
     if not len(index.ids) or not len(hashes):
         return []
     place, term = index.find(hashes)
-    first = np.searchsorted(doc, doc[place])
-    stride = index.longest
+    nth = place - np.searchsorted(doc, doc[place])
+    stride = index.stride
     count = np.bincount(doc, minlength=len(offsets) - 1)
     slots = np.maximum(1, -(-count // stride))
     slot0 = np.cumsum(slots) - slots
-    slot = slot0[doc[place]] + (place - first) // stride
+    slot = slot0[doc[place]] + nth // stride
     heavy = index.essential[term]
     pairs = np.unique(slot[heavy] * len(index.terms) + term[heavy])
     if not len(pairs):
@@ -168,11 +215,12 @@ def search(index: Index, column: pa.Array, threshold: float) -> list[tuple[int,
     for s in sorted(passages):
         d = int(np.searchsorted(slot0, s, side="right")) - 1
         last = min(s + 2, int(slot0[d] + slots[d]))
-        terms = np.unique(term[by_slot[s] : by_slot[last]])
-        for item, score in index.wand(terms.tolist(), threshold):
-            shares = [float(w[np.isin(t, terms)].sum() / w.sum()) if len(t) else 1.0 for t, w in index.halves[item]]
-            if (d, item) not in best or score > best[d, item][0]:
-                best[d, item] = (score, *shares, int((s - slot0[d]) * stride))
+        here = slice(by_slot[s], by_slot[last])
+        words = nth[here]
+        for item, _ in index.wand(np.unique(term[here]).tolist(), threshold):
+            span = best_span(index, item, words, term[here], int(s - slot0[d] + 1) * stride, threshold)
+            if span and ((d, item) not in best or min(span[1:3]) > min(best[d, item][1:3])):
+                best[d, item] = span
     return [(d, item, *x) for (d, item), x in best.items()]
 
 
@@ -181,8 +229,8 @@ FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((x,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """For each document and item with a passage at or above the threshold: doc_id, item_id, score (share of the item's own BM25),
-    question_overlap, answer_overlap (shares of their idf weight in the passage), first_word of the passage, leaked (1 if both overlaps suffice).
+    """For each document and item with a span at or above the threshold: doc_id, item_id, score (share of the item's own BM25),
+    question_overlap, answer_overlap (shares of their idf weight that stand in the span in order), first_word of the span, leaked (1 if both overlaps suffice).
 
     Null and empty texts hold nothing, items without words are never found. Rows that share an id are documents, or items, each
     for itself. Items without an id are left out. Other columns are left out.

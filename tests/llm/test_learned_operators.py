@@ -78,6 +78,23 @@ def test_decontaminate(spark):
     assert decontaminate(frame.limit(0), items).count() == 0 and decontaminate(frame, items.limit(0)).count() == 0
 
 
+def test_scattered_words_leak_nothing(spark):
+    """Whatever other items are in the block: a long one makes passages long, not the span that must hold question and answer."""
+    rng = np.random.default_rng(6)
+    filler = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    scattered = filler(120)
+    for k, word in enumerate(ITEMS[0][1].replace("?", "").replace(".", "").split()):
+        scattered[7 * k] = word
+    copied = [*filler(33), *ITEMS[0][1].split(), *filler(90)]
+    between = filler(60) + [y for x in ITEMS[0][1].split() for y in ([x, "hm"] if x in ("the", "sea?") else [x])] + filler(9)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([scattered, copied, between, [*scattered, *copied]])], "doc_id long, text string")
+    found = []
+    for others in ([], [(9, " ".join(f"v{k}" for k in range(1000)) + ".")]):
+        items = spark.createDataFrame(ITEMS[:3] + others, "item_id long, text string")
+        found.append(sorted(tuple(r) for r in decontaminate(docs, items).where("leaked = 1").select("doc_id", "item_id", "first_word").collect()))
+    assert found == [[(1, 1, 33), (2, 1, 60), (3, 1, 153)]] * 2
+
+
 def test_wand_finds_what_scoring_all_finds(spark):
     from roadweave.llm.decontam import Index, term_lists
 
