@@ -1,7 +1,7 @@
 """Documents to packed sequences: toxic ones go, near copies go, repeated passages are cut, benchmark leaks go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of ``documents`` (the last: the
-packing). Rows that share a doc_id stay or go together.
+packing). Near copies are chosen row by row; at leaks, rows that share a doc_id stay or go together.
 """
 
 import uuid
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roadweave.llm.decontam import decontaminate
 from roadweave.llm.ngram_join import ngram_join
 from roadweave.llm.packing import best_fit_packing
-from roadweave.llm.shared import shared_dir
+from roadweave.llm.shared import shared_dir, written
 from roadweave.llm.suffix_dedup import suffix_dedup
 from roadweave.llm.toxicity import scored_rows
 
@@ -25,9 +25,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links stays, the one with the smallest id. Documents without words, or an id, stay."""
-    gone = ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of links stays, the one with the smallest id, of alike ids any one; null ids come last. Rows without words stay.
+
+    Rows are told apart by a number of their own, so repeated rows are copies of each other, and rows that share an id go each for itself.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))["__row"]
+    stays = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("__row"))
+    return rows.join(stays.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,18 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(group.values()))
 
 
+def test_one_of_repeated_rows_stays(spark):
+    """Rows alike in id and text, or without an id, are copies too; a row of its own text stays whatever its id."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(150))
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("e")), (None, text("c")), (7, ""), (7, None)]
+    before = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    after = corpus_pipeline.near_copies(spark, before, SF)
+    want = [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d")), (None, text("e")), (7, ""), (7, None)]
+    assert sorted(map(tuple, after.collect()), key=str) == sorted(want, key=str)
+    left = corpus_pipeline.repeated_passages(spark, after, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted(((k, t or "") for k, t in want), key=str)
+
+
 def test_repeats_are_cut(stages):
     before, after = stages[2]
     rows = before.orderBy("doc_id").collect()
