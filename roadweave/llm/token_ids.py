@@ -1,5 +1,6 @@
 """Token ids of whole texts through the tokenizers library, which sees each distinct piece between spaces once in a while."""
 
+import json
 import os
 import re
 from array import array
@@ -17,18 +18,43 @@ STOP_LINE, COMMA, STOP, NO_SPACE, LINE = "\x01\x02\x03\x04\x05"
 TAKEN = (STOP_LINE, COMMA, STOP, NO_SPACE, LINE)
 RAW = {STOP_LINE: ".\n", COMMA: ",", STOP: ".", LINE: "\n"}
 #: Where the stand-ins would change what is joined: other signs before a stop or comma, white space beside white space.
-UNEVEN_STOP, TWO_SPACES = re.compile(r"[.,](?:(?<=[\W_].)|(?<=^.))[ \n]"), re.compile(r"\s\s")
+#: Letters and digits that stay one letter or digit in any case and beside any sign: ASCII and Latin ones. Capital dotted I becomes two characters.
+PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+UNEVEN_STOP, TWO_SPACES = re.compile(rf"[.,](?:(?<=[^{PLAIN}].)|(?<=^.))[ \n]"), re.compile(r"\s\s")
+BETWEEN_BARS = re.compile(rf"[{PLAIN}](?:.*[{PLAIN}])?", re.S)
 CUT = re.compile(r"(?<!^) (?=\S)")
 
 _loaded: dict[str, "TokenIds"] = {}
 HELD.append(_loaded.clear)
 
 
+#: How the vocabularies whose texts may be cut normalize and split, as their files say it.
+WORDS_APART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LOWER_CASE = ["NFC", "Replace", "Lowercase"]
+
+
+def may_cut(spec: dict) -> bool:
+    """Whether a vocabulary file splits texts by one of the two known rules, so that it never joins what ``TokenIds`` cuts apart.
+
+    Byte-level: the rule takes a space with what follows it, and letters, digits, other signs and white space apart; nothing is normalized.
+    Words: white space goes, letters, digits and other signs are taken apart; composition and lower case join or change nothing across
+    white space, and PLAIN letters stay letters. Special tokens hold neither white space nor a stop or comma beside a letter.
+    """
+    if any(re.search(r"\s|[.,]", x["content"]) or x["normalized"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
+        return False
+    split, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
+    if split.get("type") == "ByteLevel":
+        return normal is None and split["use_regex"] and not split["add_prefix_space"]
+    parts = split.get("pretokenizers") or [{}]
+    known = normal and [x["type"] for x in normal.get("normalizers", [])] == LOWER_CASE and normal["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+    return bool(known) and parts[0].get("pattern") == {"Regex": WORDS_APART} and parts[0]["invert"] and not parts[-1].get("use_regex", True)
+
+
 class TokenIds:
-    """The ids as little-endian unsigned 32-bit integers, those of ``encode(text, add_special_tokens=False)``.
+    """The ids as little-endian unsigned 32-bit integers, those of ``encode(text, add_special_tokens=False)`` of the whole text.
 
-    Neither vocabulary (byte-level, and words in lower case) joins what stands on two sides of a space before a sign, a letter or digit
-    and a stop or comma, or a single line end and its neighbours; so a text is cut there and each piece is encoded by itself.
+    Where ``may_cut`` holds, a text is cut at spaces before a sign, between a PLAIN letter or digit and a stop or comma, and around single line
+    ends, and each piece is encoded by itself, once in a while. Texts of other vocabularies are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -36,6 +62,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.cut = may_cut(json.load(file))
         self.known: dict[str, bytes] = {}
         self.bars = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a | b", "a|b")]
         self.bars = [x[1] if len(x) == 3 else None for x in self.bars]
@@ -52,7 +80,7 @@ class TokenIds:
 
     def encode_fresh(self, pieces: list[str]) -> dict[str, bytes]:
         spaced = [p for p in pieces if p and p[0] not in TAKEN and "|" not in p]
-        after = [p for p in pieces if p[:1] == NO_SPACE and p[1:2].isalpha() and p[-1].isalpha() and "|" not in p]
+        after = [p for p in pieces if p[:1] == NO_SPACE and BETWEEN_BARS.fullmatch(p, 1) and "|" not in p]
         out = dict(zip(spaced, self.encode_apart(spaced, True), strict=True)) if spaced else {}
         if after:
             out.update(zip(after, self.encode_apart([p[1:] for p in after], False), strict=True))
@@ -73,7 +101,7 @@ class TokenIds:
     def many(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            if not text or any(x in text for x in TAKEN):
+            if not text or not self.cut or any(x in text for x in TAKEN):
                 out.append(self.encode([text])[0] if text else b"")
                 continue
             pieces = self.pieces(text)
