@@ -4,6 +4,8 @@ A chunk sends each of its n-grams once, with its number, in packed blocks by has
 count table, adds up, and returns the counts above one to the chunks that asked (what isn't returned was counted once).
 There every word meets the counts of its trigram, bigrams and unigrams, and scores are summed per document. An n-gram that a
 third of all documents hold is one entry per chunk, so no bucket outgrows the number of chunks.
+
+An n-gram is known by 64 bits of hash, at every size of the input; two different ones are taken for one with a chance of 2 ** -64 a pair.
 """
 
 import numpy as np
@@ -12,27 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm import textkernel as K
-from roadweave.llm.shared import BLOCK, batched, buckets, by_chunk, by_key, chunks, scanned, text, text_blocks, text_of, written
+from roadweave.llm.shared import BLOCK, batched, buckets, by_chunk, by_key, chunks, partitions, scanned, text, text_blocks, text_of, written
 
 ORDER = 3
 #: Factor for each order that a word falls back (the published value), and the least count of a bigram or trigram in use.
 BACKOFF, LEAST = 0.4, 2
+#: Bytes of text in a chunk: larger ones repeat fewer n-grams.
+LM_CHUNK = 12 << 20
 PART = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, partial double"
 PART_ARROW = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_words", "n_trigram", "n_bigram", "n_unigram")), ("partial", pa.float64())])
 
 
-def spare_bits(docs: DataFrame) -> int:
-    """Low bits of a hash that the input doesn't need: two n-grams of n share one of 2 log2(n) bits about once in all. At most 64 are left, at least 48."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 64 - min(64, max(48, 2 * (size.bit_length() - 1)))
-
-
-def grams_of(column: pa.Array, spare: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
+def grams_of(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
     """For n of 1, 2, 3 the hashes from each word on and whether they lie in one text; the words' texts; the number of texts."""
     data, offsets = K.text_bytes(column)
     hashes, doc, _ = K.words(data, offsets, K.NOT_SPACE)
     grams = [K.ngrams(hashes, doc, n) if len(hashes) >= n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for n in range(1, ORDER + 1)]
-    return [(g >> np.uint64(spare) << np.uint64(spare), ok) for g, ok in grams], doc, len(offsets) - 1
+    return grams, doc, len(offsets) - 1
 
 
 def distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +40,15 @@ def distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return every[first], np.diff(first, append=len(every))
 
 
-def _count_blocks(nbuckets: int, spare: int):
+def _count_blocks(nbuckets: int):
     def make(number, chunk):
-        every, count = distinct(grams_of(chunk.column("text"), spare)[0])
+        every, count = distinct(grams_of(chunk.column("text"))[0])
         bucket = (every >> np.uint64(40)) * np.uint64(nbuckets) >> np.uint64(24)
         edges = np.searchsorted(bucket, np.arange(nbuckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[b], edges[b + 1])
             more = np.flatnonzero(count[part] > 1)
-            yield b, 1, number, K.joined(K.pack_sorted(every[part] >> np.uint64(spare)), K.small(more), K.small(count[part][more]))
+            yield b, 1, number, K.joined(K.pack_sorted(every[part]), K.small(more), K.small(count[part][more]))
 
     return make
 
@@ -76,10 +74,10 @@ def _counts(key, own):
         yield src, 1, key, K.joined(np.minimum(mine, 255).astype(np.uint8), K.small(large), K.small(mine[large]))
 
 
-def _score(backoff: float, least: int, spare: int):
+def _score(backoff: float, least: int):
     def make(key, own):
         chunk = text_of(own[0][2])
-        grams, doc, docs = grams_of(chunk.column("text"), spare)
+        grams, doc, docs = grams_of(chunk.column("text"))
         table, _ = distinct(grams)
         count = [np.zeros(0, np.int64)]
         for _, _, payload in own[1:]:  # by bucket, so in the order of the table
@@ -114,7 +112,7 @@ def _score(backoff: float, least: int, spare: int):
 
 
 def _text_rows(batches):
-    yield from batched(row for number, chunk in chunks(batches) for row in text_blocks(number, chunk))
+    yield from batched(row for number, chunk in chunks(batches, most=LM_CHUNK) for row in text_blocks(number, chunk))
 
 
 def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
@@ -126,11 +124,10 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
     """
     if least < 2:
         raise ValueError("least must be 2 or more: all n-grams of the corpus count one at least")
-    spark = docs.sparkSession
     source = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)), "doc_id", "text")
-    spare = spare_bits(source)
-    counted = by_key(by_chunk(source, _count_blocks(buckets(spark), spare)), _counts)
-    parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least, spare), PART, PART_ARROW), "scores")
+    n = partitions(source)
+    counted = by_key(by_chunk(source, _count_blocks(buckets(source)), LM_CHUNK), _counts, n=n)
+    parts = written(by_key(source.mapInArrow(_text_rows, BLOCK).union(counted), _score(backoff, least), PART, PART_ARROW, n), "scores")
     total = parts.agg(F.sum("n_words")).first()[0] or 1
     score = F.round(F.col("partial") - F.col("n_unigram") * F.log(F.lit(float(total))), 4)
     return parts.select("doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", score.alias("score"))

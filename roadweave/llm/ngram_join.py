@@ -7,12 +7,14 @@
    that relation hold all links.
 3. Within a component, DivideSkip: for each class as a query, the short lists of its shingles are merged and
    what occurs often enough there is looked up in the long lists by binary search. Overlaps are exact.
-   A component larger than GROUP_SHINGLES is cut into shards, each pair of which is a task.
+   A component of more than GROUP_SHINGLES is cut into shards, each pair of which is a task; shards grow with the root of the component.
 Links that add nothing to a component already connected are not looked up, so thousands of near copies make no
 square of pairs, and none is lost.
 """
 
+from bisect import bisect_left
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm import textkernel as K
-from roadweave.llm.shared import by_chunk, by_key, buckets, scanned, text, written
+from roadweave.llm.shared import batched, buckets, by_chunk, by_key, partitions, scanned, text, written
 from roadweave.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles of a component that one task takes; larger components are searched shard by shard.
-GROUP_SHINGLES = 1 << 20
+#: Shingles of a component that one task takes; larger components are searched shard by shard, shards of SHARD_SHINGLES at most.
+GROUP_SHINGLES, SHARD_SHINGLES = 1 << 12, 1 << 22
 #: A chunk sends no more than so many documents with the same shingle by name; beyond, only their number.
 HOT = 32
 
@@ -33,36 +35,41 @@ ROW = "doc_id long, n_shingles long, class binary, shared binary"
 ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("shared", pa.binary())])
 
 
-def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, ascending, and offsets. Fewer words than n make one shingle; no words, none."""
+def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending; offsets; a second hash of each, from other word hashes.
+
+    Fewer words than n make one shingle; no words, none.
+    """
     data, offsets = K.text_bytes(column)
     hashes, doc, _ = K.words(data, offsets, K.NOT_SPACE)
+    second = K.words(data, offsets, K.NOT_SPACE, salt=K.MIX[1])[0]
     grams, whole = K.ngrams(hashes, doc, n)
     docs = len(offsets) - 1
     counts = np.bincount(doc, minlength=docs)
     short = np.flatnonzero((counts > 0) & (counts < n))
     first = np.cumsum(counts) - counts
-    own = [grams[whole]]
+    own, other = [grams[whole]], [K.ngrams(second, doc, n)[0][whole]]
     if len(short):
         length = counts[short]
         weight = np.concatenate([np.array(K.NGRAM, np.uint64)[:k] for k in length])
         at = np.repeat(first[short], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        own.append(K.mix(np.add.reduceat(hashes[at] * weight, np.cumsum(length) - length) + length.astype(np.uint64)))
-    grams, owner = np.concatenate(own), np.concatenate([doc[: len(whole)][whole], short])
+        for sums, words in ((own, hashes), (other, second)):
+            sums.append(K.mix(np.add.reduceat(words[at] * weight, np.cumsum(length) - length) + length.astype(np.uint64)))
+    grams, other, owner = np.concatenate(own), np.concatenate(other), np.concatenate([doc[: len(whole)][whole], short])
     order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+    grams, other, owner = grams[order], other[order], owner[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return grams[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=docs))])
+    return grams[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=docs))]), other[new]
 
 
-def class_ids(grams: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
-    """128 bits that equal sets share; none for an empty set."""
+def class_ids(grams: np.ndarray, offsets: np.ndarray, second: np.ndarray) -> list[bytes | None]:
+    """128 bits that equal sets share, from two hashes that do not depend on each other; none for an empty set."""
     full = np.diff(offsets) > 0
     out: list[bytes | None] = [None] * len(full)
     if full.any():
         at = offsets[:-1][full]
-        two = np.stack([np.add.reduceat(K.mix(grams ^ np.uint64(salt)), at) for salt in K.MIX], axis=1)
+        two = np.stack([np.add.reduceat(K.mix(x ^ np.uint64(salt)), at) for x, salt in zip((grams, second), K.MIX)], axis=1)
         for k, pair in zip(np.flatnonzero(full).tolist(), two):
             out[k] = pair.tobytes()
     return out
@@ -75,8 +82,8 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _shingle_blocks(nbuckets: int, n: int):
     def make(number, chunk):
-        grams, offsets = shingle_sets(chunk.column("text"), n)
-        classes = class_ids(grams, offsets)
+        grams, offsets, second = shingle_sets(chunk.column("text"), n)
+        classes = class_ids(grams, offsets, second)
         sizes = np.diff(offsets)
         ids = chunk.column("doc_id")
         # one document of each class in the chunk speaks for it
@@ -178,8 +185,6 @@ def _prefix_blocks(nbuckets: int, percent: int):
     """(shingle, class, size) of every prefix, in blocks by shingle."""
 
     def run(batches):
-        from roadweave.llm.shared import batched
-
         def rows():
             for number, batch in enumerate(batches):
                 grams, which = [], []
@@ -252,10 +257,41 @@ class Lists:
         return [self.member[lo[k] : hi[k]] for k in np.argsort(hi - lo, kind="stable").tolist()]
 
 
+def heap_merge(lists: list[list[int]], t: int) -> tuple[list[int], list[int]]:
+    """Members of at least t of the ascending lists, and in how many each is (MergeSkip).
+
+    The least member is popped with all its copies; where they are fewer than t, the t - 1 least lists skip to the member that the heap has then,
+    since nothing before it can be in t lists.
+    """
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapify(heap)
+    at = [0] * len(lists)
+    found, count = [], []
+    while len(heap) >= t:
+        member, own = heap[0][0], []
+        while heap and heap[0][0] == member:
+            own.append(heappop(heap)[1])
+        if len(own) >= t:
+            found.append(member)
+            count.append(len(own))
+            target = member + 1
+        else:
+            while heap and len(own) < t - 1:
+                own.append(heappop(heap)[1])
+            if not heap:
+                break
+            target = heap[0][0]
+        for k in own:
+            at[k] = bisect_left(lists[k], max(target, member + 1) if lists[k][at[k]] == member else target, at[k])
+            if at[k] < len(lists[k]):
+                heappush(heap, (lists[k][at[k]], k))
+    return found, count
+
+
 def t_occurrence(query: np.ndarray, lists: Lists, t: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least t of the query's lists, and in how many they are (DivideSkip). ``skip``: members that don't matter.
 
-    The longest lists, fewer than t, are only probed: a member of t lists is in one of the others at least.
+    The longest lists, fewer than t, are only probed: a member of t lists is in t less their number of the others at least.
     """
     own = lists.of(query)
     if len(own) < t:
@@ -263,11 +299,12 @@ def t_occurrence(query: np.ndarray, lists: Lists, t: int, skip: np.ndarray) -> t
     longest = len(own[-1])
     n_long = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1)))
     short, long = own[: len(own) - n_long], own[len(own) - n_long :]
+    size = np.array([len(x) for x in short])
     merged = np.concatenate(short)
-    merged = np.sort(merged[~skip[merged]], kind="stable")  # all short lists ascend: merging runs
-    found, count = np.unique(merged, return_counts=True)
-    kept = count >= t - n_long
-    found, count = found[kept], count[kept]
+    left = np.flatnonzero(~skip[merged])
+    cuts = np.searchsorted(left, np.cumsum(size)).tolist()
+    merged = merged[left].tolist()
+    found, count = map(np.array, heap_merge([merged[a:b] for a, b in zip([0, *cuts], cuts)], t - n_long))
     for left, own_list in zip(range(len(long) - 1, -1, -1), reversed(long)):
         if not len(found):
             break
@@ -275,7 +312,7 @@ def t_occurrence(query: np.ndarray, lists: Lists, t: int, skip: np.ndarray) -> t
         count = count + (own_list[at] == found)
         kept = count + left >= t
         found, count = found[kept], count[kept]
-    return found, count
+    return found.astype(np.int64), count.astype(np.int64)
 
 
 def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -286,7 +323,10 @@ def link_forest(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list
     root = np.arange(len(order))
     for k in range(len(order)):
         n = int(ordered[k])
+        if n * (100 - percent) < percent:
+            continue  # so few shingles are similar enough to equal sets only, and those are one class
         skip = root == root[k]
+        skip |= ordered * (100 - percent) < percent
         skip |= (ordered * 100 < n * percent) | (ordered * percent > n * 100)
         if skip.all():
             continue
@@ -320,23 +360,25 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
     Words: longest runs without white space, A-Z as a-z. Null and empty texts have no set and no link. Rows that share
     a doc_id each count; a null doc_id is never the smallest unless its component has no other. Other columns are left out.
     """
-    spark = docs.sparkSession
     source = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)), "doc_id", "text")
-    counted = by_key(by_chunk(source, _shingle_blocks(buckets(spark), n)), _share_counts)
-    rows = written(by_key(counted, _survivors(percent), ROW, ROW_ARROW), "sets")
+    parts, nbuckets = partitions(source), buckets(source)
+    counted = by_key(by_chunk(source, _shingle_blocks(nbuckets, n)), _share_counts, n=parts)
+    rows = written(by_key(counted, _survivors(percent), ROW, ROW_ARROW, parts), "sets")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"))
     alive = rows.where("shared is not null")
-    prefixes = alive.select("n_shingles", "class", "shared").mapInArrow(_prefix_blocks(buckets(spark), percent), "key long, kind int, src long, payload binary")
-    near = connected_components(by_key(prefixes, _candidates(percent), EDGE, EDGE_ARROW))
+    prefixes = alive.select("n_shingles", "class", "shared").mapInArrow(_prefix_blocks(nbuckets, percent), "key long, kind int, src long, payload binary")
+    near = connected_components(by_key(prefixes, _candidates(percent), EDGE, EDGE_ARROW, parts))
     members = near.join(alive.groupBy("class").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("class", "node"), "node")
     members = members.join(alive, (F.col("node") == F.col("class")) & alive["doc_id"].eqNullSafe(members["doc_id"])).select("component", "class", "n_shingles", "shared")
-    size = members.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shared")) / F.lit(8 * GROUP_SHINGLES)).cast("int").alias("shards"))
+    shingles = F.sum(F.octet_length("shared")) / 8
+    shards = F.ceil(F.greatest(F.sqrt(shingles / GROUP_SHINGLES), shingles / SHARD_SHINGLES)).cast("int")
+    size = members.groupBy("component").agg(shards.alias("shards"))
     dealt = members.join(size, "component").withColumn("shard", F.pmod(F.xxhash64("class"), F.col("shards")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("shard", "other"), F.greatest("shard", "other")
     dealt = dealt.where((F.col("shards") == 1) | (F.col("shard") != F.col("other")))
     dealt = dealt.select(F.xxhash64("component", low, high).alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("src"), F.concat("class", F.encode(F.lpad(F.col("n_shingles").cast("string"), 16, "0"), "utf-8"), "shared").alias("payload"))
-    links = connected_components(by_key(dealt, _search(percent), EDGE, EDGE_ARROW))
+    links = connected_components(by_key(dealt, _search(percent), EDGE, EDGE_ARROW, parts))
     labelled = classes.join(links, classes["class"] == links["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = labelled.join(least, "component").select("class", "component_id")
@@ -345,5 +387,5 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
 
 def shingle_counts(texts: list[str], n: int = SHINGLE) -> Counter:
     """For small inputs and tests: how many of the texts hold each shingle hash."""
-    grams, _ = shingle_sets(pa.array(texts, pa.string()), n)
+    grams, _, _ = shingle_sets(pa.array(texts, pa.string()), n)
     return Counter(grams.tolist())

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 #: A block: what it is for (``key``: a bucket or a chunk), its kind, the chunk it comes from, and its bytes.
 BLOCK = "key long, kind int, src long, payload binary"
 BLOCK_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("payload", pa.binary())])
-#: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 6 << 20
-#: Buckets for each shuffle partition, so that tasks get about as much as each other.
-SPREAD = 8
+#: Bytes of text in a chunk, and rows; a longer document is a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 1 << 15
+#: Buckets for each shuffle partition, so that tasks get about as much as each other, and bytes of files that a bucket and a partition stand for at most.
+SPREAD, BUCKET_BYTES, PARTITION_BYTES = 8, 4 << 20, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def buckets(spark: SparkSession) -> int:
-    return SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(source: DataFrame) -> int:
+    """Shuffle partitions for what comes of a scan: as many as are set, more if the files are too large for them."""
+    leaf = source._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0)
+    return max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(str(leaf.stats().sizeInBytes())) // PARTITION_BYTES))
+
+
+def buckets(source: DataFrame) -> int:
+    """Parts that a table of hashes is cut in. No result depends on their number."""
+    leaf = source._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0)
+    return max(SPREAD * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(str(leaf.stats().sizeInBytes())) // BUCKET_BYTES))
 
 
 def scanned(docs: DataFrame, *columns: str) -> DataFrame:
@@ -50,23 +58,31 @@ def scanned(docs: DataFrame, *columns: str) -> DataFrame:
     return docs if all(x in ("Project", "Relation") for x in nodes if x) else written(docs, "scan")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows with at most CHUNK_BYTES of text, each with a number of its own that is the same in each scan of the same columns.
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows with at most ``most`` bytes of text, each with a number of its own.
 
-    Spark ends a batch by its rows and by the bytes of all its columns, so a scan of other columns cuts elsewhere.
+    Where a run ends follows from the rows alone, not from the batches Spark makes of them (it ends those by the rows and bytes of all columns).
     """
     number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    rows = total = 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-        first = total = 0
-        for row, size in enumerate(sizes):
-            if total and total + size > CHUNK_BYTES:
-                yield number, batch.slice(first, row - first)
-                number, first, total = number + 1, row, 0
-            total += size
-        if first < len(sizes):
-            yield number, batch.slice(first)
-            number += 1
+        first = 0
+        for row, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if rows and (total + size > most or rows == CHUNK_ROWS):
+                if row > first:
+                    held.append(batch.slice(first, row - first))
+                yield number, whole()
+                number, held, first, rows, total = number + 1, [], row, 0, 0
+            rows, total = rows + 1, total + size
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield number, whole()
 
 
 def blocks(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -101,19 +117,22 @@ def give_back() -> None:
         trim(0)
 
 
-def by_chunk(docs: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
+def by_chunk(docs: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[tuple[int, int, int, bytes]]], most: int = CHUNK_BYTES) -> DataFrame:
     """The blocks that ``make`` gives for every chunk."""
 
     def run(batches):
         give_back()
-        yield from batched(row for number, chunk in chunks(batches) for row in make(number, chunk))
+        yield from batched(row for number, chunk in chunks(batches, most=most) for row in make(number, chunk))
         give_back()
 
     return docs.mapInArrow(run, BLOCK)
 
 
-def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Schema = BLOCK_ARROW) -> DataFrame:
-    """``make(key, [(kind, src, payload)])`` for all blocks of each key, one key at a time; it gives blocks, or record batches if ``schema`` is another."""
+def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Schema = BLOCK_ARROW, n: int | None = None) -> DataFrame:
+    """``make(key, [(kind, src, payload)])`` for all blocks of each key, one key at a time; it gives blocks, or record batches if ``schema`` is another.
+
+    ``n``: partitions, by default those that are set.
+    """
 
     def groups(batches):
         key, own = None, []
@@ -136,7 +155,7 @@ def by_key(dealt: DataFrame, make: Callable, schema: str = BLOCK, shape: pa.Sche
                 yield from make(key, own)
         give_back()
 
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key").sortWithinPartitions("key", "kind", "src").mapInArrow(run, schema)
 
 

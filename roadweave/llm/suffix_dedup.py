@@ -18,6 +18,7 @@ A key with HOT or more pieces (a passage that very many texts share) is dealt ou
 
 import tempfile
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from roadweave.llm import textkernel as K
-from roadweave.llm.shared import BLOCK, batched, buckets, by_chunk, by_key, scanned, text, text_blocks, text_of
+from roadweave.llm.shared import BLOCK, batched, buckets, by_chunk, by_key, chunks, partitions, scanned, text, text_blocks, text_of
 
 LENGTH, GRAM = 400, 64
 HOT = 20_000
@@ -63,7 +64,7 @@ def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces:
-    """Runs of windows with one key: ``key``, ``content`` (hash of the bytes), ``start``, ``windows``, ``anchor`` (place of the key in the piece).
+    """Runs of windows with one key: ``key``, ``content`` (digest of the bytes), ``start``, ``windows``, ``anchor`` (place of the key in the piece).
 
     ``hot``: ascending keys whose runs a second key divides further.
     """
@@ -100,7 +101,9 @@ class Pieces:
                 deeper = is_hot[start]
                 key = np.where(deeper, K.mix(key + K.mix(span[second[start]] ^ np.uint64(K.MIX[1]))), key)
             end = start + count + length - 1
-            parts.append((key, K.span_hash(sums, start, end), start + lo, count, place[start] - start))
+            raw = part.tobytes()
+            content = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist())]), "<u8").astype(np.uint64)
+            parts.append((key, content, start + lo, count, place[start] - start))
         empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
         self.key, self.content, self.start, self.windows, self.anchor = (np.concatenate(x) for x in zip(*parts)) if parts else empty
         self.id = K.mix(self.key + K.mix(self.content))
@@ -255,7 +258,10 @@ def _build(length: int):
         keys = np.concatenate([K.unpack_sorted(p[1]) for p in parts])
         content, count, size, anchor = (np.concatenate([p[k].astype(np.uint64 if k == 2 else np.int64) for p in parts]) for k in (2, 3, 4, 5))
         ids = K.mix(keys + K.mix(content))
-        _, first, turn = np.unique(ids, return_index=True, return_inverse=True)
+        order = np.lexsort((content, keys))  # a piece is known by key and content together, 128 bits
+        new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (content[order][1:] != content[order][:-1])])
+        first, turn = order[new], np.empty(len(order), np.int64)
+        turn[order] = np.cumsum(new) - 1
         total = np.bincount(turn, weights=count).astype(np.int64)
         group_of, group = np.unique(keys[first], return_inverse=True)
         alone = (np.bincount(group)[group] == 1) & (total == 1)
@@ -301,7 +307,14 @@ def covered(start: np.ndarray, end: np.ndarray, total: int, offsets: np.ndarray)
     return np.stack([np.flatnonzero(first), np.flatnonzero(last)], axis=1)
 
 
-def _cut(length: int, gram: int, shape: pa.Schema, keep: list[str]):
+def whole_characters(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Spans widened to the ends of the UTF-8 characters that they cut; what then touches is one."""
+    lead = np.flatnonzero(np.append((data & 0xC0) != 0x80, True))
+    first = lead[np.maximum(np.searchsorted(lead, spans[:, 0], side="right") - 1, 0)]
+    return np.stack([first, lead[np.searchsorted(lead, spans[:, 1])]], axis=1)
+
+
+def _cut(length: int, gram: int, shape: pa.Schema, keep: list[str], least_words: int, characters: bool):
     def make(number, own):
         chunk = text_of(own[0][2])
         hot = [K.unpack_sorted(payload) for kind, _, payload in own if kind == 2]
@@ -316,6 +329,8 @@ def _cut(length: int, gram: int, shape: pa.Schema, keep: list[str]):
             ids, count, first = ids[order], count[order], first[order]
             pieces = Pieces(data, offsets, length, gram, np.concatenate(hot) if hot else None)
             at = np.flatnonzero(within(pieces.id, ids))
+            if len(np.unique(pieces.id[at])) != len(np.unique(ids)):
+                raise RuntimeError(f"chunk {number}: {len(np.unique(ids))} pieces answered, {len(np.unique(pieces.id[at]))} of them are here")
             slot = np.searchsorted(ids, pieces.id[at])
             n = count[slot] // 2
             owner = np.repeat(np.arange(len(at)), n)
@@ -323,6 +338,12 @@ def _cut(length: int, gram: int, shape: pa.Schema, keep: list[str]):
             lo, hi = flat[first[slot][owner] + 2 * nth], flat[first[slot][owner] + 2 * nth + 1]
             where = pieces.start[at][owner]
             spans = covered(where + lo, where + hi + length - 1, len(data), offsets)
+            if characters:
+                spans = whole_characters(data, spans)
+                spans = covered(*spans.T, len(data), offsets)
+            if least_words:
+                first_byte, last_byte, _ = K.word_spans(data, offsets, K.NOT_SPACE)
+                spans = spans[np.searchsorted(last_byte, spans[:, 1], side="right") - np.searchsorted(first_byte, spans[:, 0]) >= least_words]
         doc = np.searchsorted(offsets, spans[:, 0], side="right") - 1
         edges = np.searchsorted(doc, np.arange(chunk.num_rows + 1))
         removed = np.bincount(doc, weights=spans[:, 1] - spans[:, 0], minlength=chunk.num_rows).astype(np.int64)
@@ -338,31 +359,30 @@ def _cut(length: int, gram: int, shape: pa.Schema, keep: list[str]):
     return make
 
 
-def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, hot: int = HOT, least_words: int = 0, characters: bool = False) -> DataFrame:
     """The columns ``keep``, kept (the bytes that remain), n_bytes, n_removed, spans (start and end of each removed run, in bytes).
 
     A byte goes if a string of ``length`` bytes over it starts anywhere else too, in this text or another; all is judged on
     the input. A null text is empty; texts shorter than ``length`` stay whole. Rows that are alike count as many times
     as they stand there. Results replace columns of ``keep`` with the same names.
+    ``least_words``: runs with fewer whole words (between white space) stay. ``characters``: a run that ends within a character takes all of it.
     """
     keep = tuple(c for c in keep if c not in ("kept", "n_bytes", "n_removed", "spans"))
-    spark = docs.sparkSession
     carried = [c for c in keep if c != "text"]
     source = scanned(docs.select(*carried, text(docs)), *carried, "text")
     texts = source.mapInArrow(_text_rows, BLOCK)
-    counted = by_key(by_chunk(source, _count_keys(buckets(spark), length, gram)), partial(_repeated_keys, most=hot))
-    sent = by_key(texts.union(counted), _send_pieces(buckets(spark), length, gram))
-    found = by_key(sent, _build(length))
+    n, nbuckets = partitions(source), buckets(source)
+    counted = by_key(by_chunk(source, _count_keys(nbuckets, length, gram)), partial(_repeated_keys, most=hot), n=n)
+    sent = by_key(texts.union(counted), _send_pieces(nbuckets, length, gram), n=n)
+    found = by_key(sent, _build(length), n=n)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [source.schema[c] for c in keep] + [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
     schema = T.StructType(fields)
     shape = to_arrow_schema(schema)
-    return by_key(texts.union(found), _cut(length, gram, shape, list(keep)), schema, shape)
+    return by_key(texts.union(found), _cut(length, gram, shape, list(keep), least_words, characters), schema, shape, n)
 
 
 def _text_rows(batches):
-    from roadweave.llm.shared import chunks
-
     yield from batched(row for number, chunk in chunks(batches) for row in text_blocks(number, chunk))
 
 

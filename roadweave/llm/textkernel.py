@@ -4,13 +4,18 @@ A chunk of documents is one byte buffer and the offsets of its texts, as Arrow s
 and byte windows come out as arrays of 64-bit hashes, so no text becomes a Python string here.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Fixed multipliers of the rolling hash (odd) and of the final mixing.
 RADIX = 0x9E3779B97F4A7C15
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 NGRAM = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 #: Bytes of the words: everything but white space, or ASCII letters and digits and everything beyond ASCII.
@@ -81,7 +86,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = MIX[0]) -> np.ndarray:
+    """64 bits of every word: eight bytes after another are mixed in, then the length; longer than LONG_WORD, a digest of the bytes."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    out = np.full(len(starts), salt, np.uint64)
+    left = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(left):
+        part = at_byte[starts[left] + done]
+        spare = 8 * np.maximum(0, done + 8 - size[left]).astype(np.uint64)
+        part = part << spare  # bytes behind the word fall out
+        out[left] = mix(out[left] * np.uint64(RADIX) ^ part)
+        done += 8
+        left = left[size[left] > done]
+    out = mix(out + size.astype(np.uint64) * np.uint64(NGRAM[0]))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        raw = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+        out[k] = int.from_bytes(raw, "little")
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, most: int = 1 << 20, salt: int = MIX[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and start of every word, A-Z counting as a-z. Documents are taken in runs of about ``most`` bytes."""
     found = []
     first = 0
@@ -89,7 +116,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, most: int = 1
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         part = LOWER[data[offsets[first] : offsets[last]]]
         starts, ends, doc = word_spans(part, offsets[first : last + 1] - offsets[first], kind)
-        found.append((span_hash(rolling(part), starts, ends), doc + first, starts + offsets[first]))
+        found.append((word_hash(part, starts, ends, salt), doc + first, starts + offsets[first]))
         first = last
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -106,22 +133,29 @@ def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit integers: the first, then differences of the fewest whole bytes that hold them all."""
+    """Ascending 64-bit integers: the first, then differences of the fewest whole bytes that hold them all.
+
+    Highest bytes stand apart, compressed: differences of hashes are mostly far below the largest.
+    """
     if not len(values):
         return b""
     steps = np.diff(values)
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + values[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    top = zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(body[:, width - 1]).tobytes())
+    return b"".join([bytes([width]), len(top).to_bytes(4, "little"), values[:1].astype("<u8").tobytes(), top, np.ascontiguousarray(body[:, : width - 1]).tobytes()])
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    width = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(body) + 1, 8), np.uint8)
-    wide[1:, :width] = body
-    wide[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    width, size = raw[0], int.from_bytes(raw[1:5], "little")
+    top = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[13 : 13 + size]), np.uint8)
+    wide = np.zeros((len(top) + 1, 8), np.uint8)
+    wide[1:, width - 1] = top
+    if width > 1:
+        wide[1:, : width - 1] = np.frombuffer(raw, np.uint8, offset=13 + size).reshape(-1, width - 1)
+    wide[0] = np.frombuffer(raw, np.uint8, 8, 5)
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import json
 import math
+import random
 import zlib
 
 import numpy as np
@@ -14,11 +16,11 @@ from tokenizers import Tokenizer
 from roadweave.llm import textkernel as K
 from roadweave.llm.license_scan import BASE, license_scan
 from roadweave.llm.lm_scoring import stupid_backoff
-from roadweave.llm.ngram_join import ngram_join
+from roadweave.llm.ngram_join import heap_merge, ngram_join
 from roadweave.llm.packing import BestFit, best_fit_packing, sequences
 from roadweave.llm.suffix_dedup import digest, suffix_dedup
-from roadweave.llm.token_codes import Shard, encode, read_codes, token_codes, write_codes
-from roadweave.llm.token_ids import TokenIds
+from roadweave.llm.token_codes import Codes, Shard, encode, read_codes, token_codes, write_codes
+from roadweave.llm.token_ids import TokenIds, may_cut
 
 from .conftest import alnum_words, space_words
 
@@ -42,6 +44,23 @@ def test_words_are_found_and_hashed_alike():
         assert all(len(x) == 1 for x in by_word.values()) and len({min(x) for x in by_word.values()}) == len(by_word)
 
 
+def test_words_of_a_pattern_are_told_apart():
+    """Texts that polynomials modulo a power of two take for each other: a Thue-Morse word and its complement."""
+    for n in (8, 64, 512, 1024, 2048, 4096):
+        one = "".join("ab"[k.bit_count() & 1] for k in range(n))
+        data, offsets = K.text_bytes(pa.array([one, one.translate(str.maketrans("ab", "ba"))]))
+        assert len(set(K.words(data, offsets, K.NOT_SPACE)[0].tolist())) == 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_heap_merge(seed):
+    rng = random.Random(seed)
+    lists = [sorted(rng.sample(range(40), rng.randint(0, 25))) for _ in range(rng.randint(1, 12))]
+    count = collections.Counter(x for own in lists for x in own)
+    for t in range(1, len(lists) + 1):
+        assert dict(zip(*heap_merge(lists, t))) == {x: n for x, n in count.items() if n >= t}
+
+
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(0)
     for values in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64)), np.array([5, 5, 5], np.uint64)):
@@ -116,6 +135,17 @@ def test_chunks_are_the_same_rows_in_both_scans(spark, tmp_path):
     assert all(abs(scored[k][-1] - x[-1]) < 1e-3 for k, x in enumerate(want))
 
 
+@pytest.mark.parametrize(("conf", "most"), [("maxBytesPerBatch", 20_000), ("maxRecordsPerBatch", 7)])
+def test_all_operators_with_small_batches(spark, docs, texts, conf, most):
+    spark.conf.set(f"spark.sql.execution.arrow.{conf}", most)
+    try:
+        assert {r["doc_id"]: tuple(r)[1:] for r in digest(suffix_dedup(docs, length=60, gram=16)).collect()} == dict(enumerate(repeats(texts, 60)))
+        assert {r["doc_id"]: tuple(r)[1:5] for r in stupid_backoff(docs).collect()} == {k: x[:4] for k, x in enumerate(backoff(texts))}
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(docs).collect()} == dict(enumerate(links(texts)))
+    finally:
+        spark.conf.unset(f"spark.sql.execution.arrow.{conf}")
+
+
 def links(texts):
     sets = []
     for t in texts:
@@ -144,7 +174,7 @@ def test_ngram_join_of_many_copies(spark, monkeypatch):
     want = links(rows)
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(frame).collect()} == dict(enumerate(want))
-    monkeypatch.setattr("roadweave.llm.ngram_join.GROUP_SHINGLES", 1000)
+    monkeypatch.setattr("roadweave.llm.ngram_join.SHARD_SHINGLES", 1000)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(frame).collect()} == dict(enumerate(want))
 
 
@@ -156,6 +186,24 @@ def test_cut_texts_have_the_same_ids(texts, path):
         assert [np.frombuffer(x, "<u4").tolist() for x in tokens.many([*texts, *more])] == [x[:-1].tolist() for x in ids_of(path, [*texts, *more])]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_random_texts_have_the_same_ids(path):
+    rng = random.Random(1)
+    letters = [*"abzABZ019 .,\n\t'|!?-_  ..,,", *"İıéÉßΣςǅŉ½²漢한가иЖאاक🙂\u0301\u0307\u094d\u200b\u2003\xa0\x1c\x85×ﬁẞ", "e\u0301", "I\u0307", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "İ."]
+    some = ["İ, a", "İ. Bu", "İ.\nx", *("".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(50_000))]
+    tokens = TokenIds(path)
+    assert tokens.cut
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.many(some)] == [x[:-1].tolist() for x in ids_of(path, some)]
+
+
+def test_other_vocabularies_are_not_cut():
+    with open(WORDS) as file:
+        spec = json.load(file)
+    assert may_cut(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "content": "a b"}]}):
+        assert not may_cut({**spec, **change})
+
+
 def test_token_codes(spark, docs, texts, no_docs, tmp_path):
     ids = ids_of(BYTES, texts)
     starts = np.cumsum([0, *map(len, ids)])
@@ -164,6 +212,16 @@ def test_token_codes(spark, docs, texts, no_docs, tmp_path):
     write_codes(docs, str(tmp_path / "codes"), BYTES)
     read = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in read_codes(spark, str(tmp_path / "codes")).collect()}
     assert read == {k: x.tolist() for k, x in enumerate(ids)}
+    codes = Codes(spark, str(tmp_path / "codes"))
+    long = max(range(len(ids)), key=lambda k: len(ids[k]))
+    for k, at in ((long, 0), (long, len(ids[long]) // 2), (long, len(ids[long]) - 1), (4, 1)):
+        codes.bytes_read = 0
+        assert codes.get(k, at) == [ids[k][at]] and codes.bytes_read < 700  # of files of many thousands
+    assert codes.get(long, 77, 1500) == [ids[long][77:1500].tolist()]
+    with pytest.raises(IndexError):
+        codes.get(4, 1000)
+    write_codes(docs, str(tmp_path / "small"), BYTES, shard_ids=100)
+    assert {r["doc_id"]: bytes(r["ids"]) for r in read_codes(spark, str(tmp_path / "small")).collect()} == {k: x.tobytes() for k, x in enumerate(ids)}
     assert token_codes(no_docs, BYTES).count() == 0
 
 
@@ -181,6 +239,28 @@ def test_best_fit_closes_the_fullest():
     assert [fit.place(n) for n in (7, 6, 5, 4, 3)] == [(0, 0), (1, 0), (2, 0), (1, 6), (2, 5)]
 
 
+def test_best_fit_against_a_plain_version():
+    rng = np.random.default_rng(8)
+    for most in (1, 3, 16):
+        fit, room, opened, total = BestFit(100, most), {}, [], 0
+        for size in np.minimum(rng.geometric(0.03, 3000), 100).tolist():
+            total += size
+            sequence, offset = fit.place(size)
+            free = min((room[k] for k in opened if room[k] >= size), default=None)
+            if free is None:
+                if len(opened) == most:
+                    opened.remove(next(k for k in reversed(opened) if room[k] == min(room[x] for x in opened)))
+                assert sequence == len(room) and offset == 0
+                room[sequence] = 100
+            else:
+                assert sequence in opened and room[sequence] == free and offset == 100 - free
+                opened.remove(sequence)
+            room[sequence] -= size
+            if room[sequence]:
+                opened.append(sequence)
+        assert len(room) <= {1: 1.5, 3: 1.2, 16: 1.05}[most] * total / 100
+
+
 def test_packing(docs, texts, no_docs):
     ids = ids_of(WORDS, texts)
     rows = best_fit_packing(docs, WORDS, 256).collect()
@@ -196,7 +276,15 @@ def test_packing(docs, texts, no_docs):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(by_sequence) <= 1.03 * sum(map(len, ids)) / 256 + 1
+    # a plain version: the pieces as they arrive, each to the fullest open sequence with room
+    room, order = [], sorted((k, at // 256, len(x[at : at + 256])) for k, x in enumerate(ids) for at in range(0, len(x), 256))
+    for _, _, size in order:
+        fits = [k for k, free in enumerate(room) if free >= size]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= size
+        else:
+            room.append(256 - size)
+    assert len(by_sequence) == len(room) and sorted(256 - sum(n for _, n in own) for own in by_sequence.values()) == sorted(room)
     placed = best_fit_packing(docs, WORDS, 256)
     assert sum(len(r["ids"]) for r in sequences(docs, placed, WORDS).collect()) == sum(map(len, ids))
     assert best_fit_packing(no_docs, WORDS).count() == 0
