@@ -17,6 +17,8 @@ from roadweave.llm.shared import shared_dir, written
 from roadweave.llm.suffix_dedup import suffix_dedup
 from roadweave.llm.toxicity import scored_rows
 
+#: A repeated passage has so many words at least, and so many bytes; strings of PASSAGE_GRAM bytes are its keys.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 204, 32
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score 0.5 or more. Null and empty texts stay unless all documents would score so."""
@@ -37,14 +39,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that a string of 400 bytes found elsewhere too covers; what is left of a character cut in two goes as well.
+    """Texts without the passages of PASSAGE_WORDS words or more that stand elsewhere too, wherever both are; a character cut in two goes whole.
 
+    The search is for strings of PASSAGE_BYTES, which words of four bytes with their space make up; repeated runs of fewer words stay.
     All rows stay; a null text becomes empty, and n_chars the length of what is left.
     """
-    found = suffix_dedup(docs, tuple(c for c in docs.columns if c != "text"))
-    left = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(left, "�", "")).otherwise(left)
-    found = found.withColumn("text", text)
+    found = suffix_dedup(docs, tuple(c for c in docs.columns if c != "text"), PASSAGE_BYTES, PASSAGE_GRAM, least_words=PASSAGE_WORDS, characters=True)
+    found = found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
