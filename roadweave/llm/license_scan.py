@@ -1,10 +1,13 @@
 """License notices in whole texts: exact phrases of words, and short notices with a few edits.
 
 A notice of m letters may have m // 10 errors. Cut in one part more than that, one part stands there unchanged (pigeonhole), so exact searches
-for the parts find all candidates; around each the regex library matches the whole notice with bounded errors. Texts are compared as words in lower
-case with one space between, byte by byte; spans are bytes of the text itself.
+for the parts find all candidates; around each the regex library matches the whole notice with bounded errors. What tells a notice from its siblings
+(versions, variants) must stand unedited. Texts are compared as words in lower case with one space between, byte by byte; spans are bytes of the text itself.
 """
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,14 +19,22 @@ from roadweave.llm.shared import chunks, text
 
 #: Phrases of words and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Wordings of common notices and the labels they add.
+#: Wordings of common notices and the labels they add. Words in brackets must stand as they are.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit-notice",
-    "gnu general public license version 3": "gpl-3.0",
-    "gnu lesser general public license": "lgpl",
-    "mozilla public license version 2 0": "mpl-2.0",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
+    "licensed under the apache license version [2 0]": "apache-2.0",
+    "apache license version [1 1]": "apache-1.1",
+    "released under the [mit] license": "mit-notice",
+    "released under the [bsd] license": "bsd-notice",
+    "gnu general public license version [3]": "gpl-3.0",
+    "gnu general public license version [2]": "gpl-2.0",
+    "gnu [lesser] general public license": "lgpl",
+    "gnu [affero] general public license": "agpl",
+    "mozilla public license version [2 0]": "mpl-2.0",
+    "mozilla public license version [1 1]": "mpl-1.1",
+    "licensed under [cc by 4 0]": "cc-by-4.0",
+    "licensed under [cc by sa 4 0]": "cc-by-sa-4.0",
+    "licensed under [cc by nc 4 0]": "cc-by-nc-4.0",
+    "licensed under [cc by nd 4 0]": "cc-by-nd-4.0",
     "creative commons attribution": "creative-commons",
     "permission is hereby granted free of charge": "mit-text",
     "redistribution and use in source and binary forms": "bsd",
@@ -38,11 +49,45 @@ SCAN_ARROW = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_w
 
 class Notice:
     def __init__(self, wording: str, label: str):
-        self.raw, self.label = wording.encode(), label
+        self.raw, self.label = re.sub(r"[\[\]]", "", wording).encode(), label
         self.errors = len(self.raw) // LETTERS_FOR_AN_ERROR
         cuts = [k * len(self.raw) // (self.errors + 1) for k in range(self.errors + 2)]
         self.seeds = [(self.raw[a:b], a) for a, b in zip(cuts, cuts[1:])]
-        self.pattern = regex.compile(rb"(?b)(?<![0-9a-z\x80-\xff])(?:%s){e<=%d}(?![0-9a-z\x80-\xff])" % (regex.escape(self.raw, special_only=True), self.errors))
+        edge, parts = rb"(?<![0-9a-z\x80-\xff])(?:%s)(?![0-9a-z\x80-\xff])", []
+        for k, part in enumerate(re.split(r"[\[\]]", wording)):  # every second one stands in brackets
+            fixed = regex.escape(part.encode(), special_only=True)
+            if part:
+                parts.append(edge % fixed if k % 2 else rb"(?:%s){e<=%d}" % (fixed, self.errors))
+        self.pattern = regex.compile(rb"(?b)" + edge % b"".join(parts))
+
+    def find(self, text: bytes, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of matches in the windows; of those that overlap the one with the fewest edits, then the first."""
+        found = set()
+        for lo, hi in windows:
+            m = self.pattern.search(text, lo, hi)
+            if m and sum(m.fuzzy_counts) <= self.errors:
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int, int]] = []
+        taken = SortedSpans()
+        for edits, start, end in sorted(found):
+            if taken.add(start, end):
+                kept.append((start, end, edits))
+        return kept
+
+
+class SortedSpans:
+    """Spans that don't overlap."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start)
+        if (k and self.ends[k - 1] > start) or (k < len(self.starts) and self.starts[k] < end):
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
 
 
 def places(text: bytes, what: bytes):
@@ -90,18 +135,10 @@ def scan_chunk(column: pa.Array, base: dict[str, str], notices: list[Notice]) ->
                 candidates.setdefault((d, k), []).append((lo, hi))
     fuzzy: dict[int, list[tuple[int, int, int, str]]] = {}
     for (d, k), windows in candidates.items():
-        notice, windows = notices[k], sorted(windows)
-        merged = [list(windows[0])]
-        for lo, hi in windows[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
         first = int(bounds[d])
         own = whole[first : bounds[d + 1]]
-        for lo, hi in merged:
-            for m in notice.pattern.finditer(own, lo - first, hi - first):
-                fuzzy.setdefault(d, []).append((sum(m.fuzzy_counts), first + m.start(), first + m.end(), notice.label))
+        for start, end, edits in notices[k].find(own, [(lo - first, hi - first) for lo, hi in sorted(set(windows))]):
+            fuzzy.setdefault(d, []).append((edits, first + start, first + end, notices[k].label))
     rows = []
     for d in range(docs):
         own, more = base_hits.get(d, []), fuzzy.get(d, [])
@@ -120,7 +157,8 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, notices: d
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start and end in bytes, edits).
 
     Score: 1 with a base phrase, else the best notice's share of letters that need no edit, else 0. Null and empty texts hold
-    nothing; rows that are alike are scanned each for itself; other columns are left out.
+    nothing; rows that are alike are scanned each for itself; other columns are left out. ``notices``: wordings in lower case with single spaces,
+    and labels; what stands in brackets must stand in the text unedited.
     """
     base, notices = BASE if base is None else base, NOTICES if notices is None else notices
 

@@ -36,7 +36,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op6_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
