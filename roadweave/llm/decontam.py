@@ -1,12 +1,12 @@
 """Benchmark items in training texts: BM25 over an inverted index of the items, block-max WAND, then both parts verified.
 
 The items are the indexed side and every passage of every document is a query, so only the index travels: in blocks of ITEMS items
-at most, each broadcast by itself. Passages are windows of two strides, a stride being the longest item's span, a window starting every stride,
-so the span of any item lies whole in one. Scores are shares of an item's score against itself.
+at most, each broadcast by itself. A passage is PASSAGE slots, one starting with every slot, and a slot is so long that the longest item's span
+lies whole in the passage that begins with its first slot. Scores are shares of an item's score against itself.
 
 Bounds come first, for a chunk's passages at once: terms that few items hold give each passage, per group of GROUP items, the sum of their largest
 weights there; the frequent terms together add at most a constant. A passage whose bounds all stay under the threshold holds no item. The others go
-through the posting lists with pivots (WAND), skipping groups whose block maxima can't reach the threshold. All items at or above it are
+through the posting lists with pivots (WAND), in the groups whose block maxima can reach the threshold. All items at or above it are
 found.
 
 Passages only retrieve. A pair is judged within spans of SPAN times the item's own words, whatever other items are in the block: the span's words
@@ -28,7 +28,10 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.6
 #: Words of a span for each word of the item, for words put in between.
 SPAN = 1.5
-ITEMS, GROUP = 1024, 8
+#: Items of a block, items of a group, and slots of a passage: the more slots, the fewer words beside a span.
+ITEMS, GROUP, PASSAGE = 1024, 8, 5
+#: Passages whose bounds are summed at once.
+ROWS = 8192
 SENTENCE = re.compile(r"[.!?](?:\s+)(?=\S)")
 
 
@@ -67,6 +70,11 @@ class Index:
             w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
             weight[at, k] = w / w.sum()
         self.postings = [(np.flatnonzero(row).tolist(), row[row > 0].tolist()) for row in weight]
+        self.by_group: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(-(-size // GROUP))]
+        for t, (items, values) in enumerate(self.postings):
+            for group in sorted({k // GROUP for k in items}):
+                part = [(k, v) for k, v in zip(items, values) if k // GROUP == group]
+                self.by_group[group][t] = ([k for k, _ in part], [v for _, v in part], max(v for _, v in part))
         groups = -(-size // GROUP) if size else 0
         padded = np.zeros((n, groups * GROUP), np.float32)
         padded[:, :size] = weight
@@ -103,40 +111,44 @@ class Index:
         same = self.terms[term] == hashes[at]
         return at[same], term[same]
 
-    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Items with a score at or above the threshold for these distinct terms. Block-max WAND."""
+    def wand(self, terms: list[int], threshold: float, groups: list[int] | None = None) -> list[tuple[int, float]]:
+        """Items with a score at or above the threshold for these distinct terms, of all groups or those named. Block-max WAND.
+
+        A group whose block maxima can't reach the threshold is passed over; within a group a list's bound is its block maximum.
+        """
         slack = 1e-5  # sums of single precision
-        lists = [[*self.postings[t], 0, float(self.most[t]), t] for t in terms]
         found = []
-        while True:
-            lists = [x for x in lists if x[2] < len(x[0])]
-            lists.sort(key=lambda x: x[0][x[2]])
-            total, pivot = 0.0, None
-            for k, x in enumerate(lists):
-                total += x[3]
-                if total >= threshold - slack:
-                    pivot = k
+        if groups is None:
+            groups = np.flatnonzero(self.group_max[terms].sum(axis=0) >= threshold - slack).tolist()
+        for group in groups:
+            own = self.by_group[group]
+            lists = [[*own[t], 0] for t in terms if t in own]  # items, weights, bound, place
+            while lists:
+                lists.sort(key=lambda x: x[0][x[3]])
+                total, pivot = 0.0, None
+                for k, x in enumerate(lists):
+                    total += x[2]
+                    if total >= threshold - slack:
+                        pivot = k
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                return found
-            item = lists[pivot][0][lists[pivot][2]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == item:
-                pivot += 1
-            group = item // GROUP
-            if sum(float(self.group_max[x[4], group]) for x in lists[: pivot + 1]) < threshold - slack:
-                # no item of the group before the next list begins can do
-                following = lists[pivot + 1][0][lists[pivot + 1][2]] if pivot + 1 < len(lists) else 1 << 60
-                target = max(item + 1, min((group + 1) * GROUP, following))
-            elif lists[0][0][lists[0][2]] == item:
-                score = sum(x[1][x[2]] for x in lists[: pivot + 1])
-                if score >= threshold - slack:
-                    found.append((item, min(1.0, score)))
-                target = item + 1
-            else:
-                target = item
-            for x in lists[: pivot + 1]:
-                while x[2] < len(x[0]) and x[0][x[2]] < target:
-                    x[2] += 1
+                item = lists[pivot][0][lists[pivot][3]]
+                if lists[0][0][lists[0][3]] == item:
+                    score = 0.0
+                    for x in lists:
+                        if x[0][x[3]] != item:
+                            break
+                        score += x[1][x[3]]
+                        x[3] += 1
+                    if score >= threshold - slack:
+                        found.append((item, min(1.0, score)))
+                else:
+                    for x in lists[:pivot]:
+                        while x[3] < len(x[0]) and x[0][x[3]] < item:
+                            x[3] += 1
+                lists = [x for x in lists if x[3] < len(x[0])]
+        return found
 
 
 def in_order(words: np.ndarray, weights: np.ndarray, found: np.ndarray) -> float:
@@ -187,7 +199,7 @@ def search(index: Index, column: pa.Array, threshold: float) -> list[tuple[int,
         return []
     place, term = index.find(hashes)
     nth = place - np.searchsorted(doc, doc[place])
-    stride = index.stride
+    stride = max(1, -(-index.stride // (PASSAGE - 1)))  # so that a passage holds any span that begins in its first slot
     count = np.bincount(doc, minlength=len(offsets) - 1)
     slots = np.maximum(1, -(-count // stride))
     slot0 = np.cumsum(slots) - slots
@@ -200,24 +212,28 @@ def search(index: Index, column: pa.Array, threshold: float) -> list[tuple[int,
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     bound = np.add.reduceat(index.group_max[pairs % len(index.terms)], starts)
     live = own[starts]
-    # a passage is a slot and the next of the same document
-    follows = np.zeros_like(bound)
-    after = np.flatnonzero(live[1:] == live[:-1] + 1)
-    follows[after] = bound[after + 1]
+    # a passage is a run of PASSAGE slots of one document; its bound is the sum of theirs
     owner = np.searchsorted(slot0, live, side="right") - 1
-    follows[owner != np.searchsorted(slot0, live + 1, side="right") - 1] = 0
-    reach = (bound + follows + index.rest).max(axis=1) >= threshold - 1e-5
-    passages = set(live[reach].tolist())
-    # the part before a slot may hold no heavy term at all: the slot's own bound stands for it
-    passages |= {s - 1 for s, k in zip(live.tolist(), owner.tolist()) if s > slot0[k]} & set((live[(bound + index.rest).max(axis=1) >= threshold - 1e-5] - 1).tolist())
+    first = live[:, None] - np.arange(PASSAGE)  # the passages that hold a slot with heavy terms
+    row, back = np.nonzero(first >= slot0[owner][:, None])
+    passage = first[row, back]
+    order = np.argsort(passage, kind="stable")
+    passage, row = passage[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    groups: dict[int, list[int]] = {}
+    for lo in range(0, len(begin), ROWS):
+        part = begin[lo : lo + ROWS]
+        upto = begin[lo + ROWS] if lo + ROWS < len(begin) else len(row)
+        reach = np.add.reduceat(bound[row[part[0] : upto]], part - part[0]) + index.rest >= threshold - 1e-5
+        groups.update((int(passage[part[k]]), np.flatnonzero(reach[k]).tolist()) for k in np.flatnonzero(reach.any(axis=1)).tolist())
     best: dict[tuple[int, int], tuple] = {}
     by_slot = np.searchsorted(slot, np.arange(int(slots.sum()) + 1))
-    for s in sorted(passages):
+    for s, own_groups in groups.items():
         d = int(np.searchsorted(slot0, s, side="right")) - 1
-        last = min(s + 2, int(slot0[d] + slots[d]))
+        last = min(s + PASSAGE, int(slot0[d] + slots[d]))
         here = slice(by_slot[s], by_slot[last])
         words = nth[here]
-        for item, _ in index.wand(np.unique(term[here]).tolist(), threshold):
+        for item, _ in index.wand(sorted(set(term[here].tolist())), threshold, own_groups):
             span = best_span(index, item, words, term[here], int(s - slot0[d] + 1) * stride, threshold)
             if span and ((d, item) not in best or min(span[1:3]) > min(best[d, item][1:3])):
                 best[d, item] = span
