@@ -1,14 +1,17 @@
 """Operators that learn or search: held-out accuracy and plain versions on small inputs."""
 
+import itertools
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 
-from roadweave.llm.decontam import decontaminate, parts
+from roadweave.llm.decontam import B, K1, SPAN, THRESHOLD, decontaminate, parts
 from roadweave.llm.langid import language
 from roadweave.llm.topk import exact_topk
-from roadweave.llm.toxicity import CharacterModel, restore, scored_rows, toxicity
+from roadweave.llm.toxicity import HIDDEN, RUN, SPACED, CharacterModel, disguised, lattice, restore, scored_rows, toxicity, viterbi
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,10 +40,39 @@ def test_exact_topk_with_ties_and_gaps(spark):
 def test_disguised_words_are_restored():
     clean = "idiot stupid trash pathetic clown moron the other words of these texts stay".split() * 20
     model = CharacterModel(CharacterModel.count(clean))
-    for raw, want in {"you 1d10t!": "you idiot!", "s.t.u.p.i.d": "stupid", "stuuuupid": "stupid", "i d i o t here": "idiot here", "tr4sh": "trash", "p4th3tic": "pathetic", "abc 1999 x2": "abc 1999 x2", "": ""}.items():
+    for raw, want in {"you 1d10t!": "you idiot!", "s.t.u.p.i.d": "stupid", "stuuuupid": "stupid", "i d i o t here": "idiot here", "tr4sh": "trash", "p4th3tic": "pathetic", "abc 1999 x2": "abc 1999 x2", "": "", "stuuuupid!": "stupid!", "(idioooot!)": "(idiot!)", "aaa!!!": "a!!!", "1 2 3 4": "1 2 3 4", "so 1 2 3 4\nidiiiiot.": "so 1 2 3 4\nidiot."}.items():
         assert restore(raw, model) == want
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    model = CharacterModel(CharacterModel.count("idiot trash stupid clown toil tail".split() * 5))
+    rng = random.Random(4)
+    for _ in range(60):
+        raw, spaced = "".join(rng.choices("idot tr4$1 0sspl.aaa", k=rng.randint(1, 7))), rng.random() < 0.5
+        places = lattice(raw, spaced)
+
+        def likelihood(path):
+            total, last = sum(cost for _, cost in path), "  "
+            for c in "".join(x for x, _ in path) + " ":
+                total += model(last, c)
+                last = (last + c)[-2:]
+            return total
+
+        best = max(map(likelihood, itertools.product(*places)))
+        got = viterbi(places, model)
+        assert max(likelihood(p) for p in itertools.product(*places) if "".join(x for x, _ in p) == got) == pytest.approx(best)
+
+
+def test_all_that_would_be_restored_is_flagged():
+    lows = ["ééé", "идиоооот", "д у р а к", "é t ê", "漢漢漢", "plain words", "1 2 3", "s t u", "naïve été", "a-b-c", "x.y", "h3llo", "", "日 本 語", "ÉÉÉ".lower(), "ab\nab"]
+    flags = disguised(lows)
+    for low, odd in zip(lows, flags.tolist()):
+        assert odd or not (RUN.search(low) or SPACED.search(low) or any(len(re.findall(r"[^\W\d_]", t)) > 1 for t in HIDDEN.findall(low))), low
+    assert flags[:5].all() and not flags[[5, 8, 12, 15]].any()
+    model = CharacterModel(CharacterModel.count(["дурак", "идиот", "été"] * 5))
+    assert restore("д у р а к", model) == "дурак" and restore("идиоооот!", model) == "идиот!"
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     found = toxicity(docs, labels)
@@ -95,6 +127,55 @@ def test_scattered_words_leak_nothing(spark):
     assert found == [[(1, 1, 33), (2, 1, 60), (3, 1, 153)]] * 2
 
 
+def test_search_against_scoring_every_span(spark):
+    """Every span of every item at every word of every document, scored plainly; small items blocks and large make no difference."""
+    from roadweave.llm import decontam
+
+    rng = np.random.default_rng(12)
+    items = [" ".join(f"t{x}" for x in rng.zipf(1.4, rng.integers(4, 25)) % 90) + "? " + " ".join(f"t{x}" for x in rng.zipf(1.4, 4) % 90) + "." for _ in range(30)]
+    texts = []
+    for k in range(60):
+        words = [f"t{x}" for x in rng.zipf(1.4, 150) % 90]
+        own = re.findall(r"\w+", items[k % 30])
+        at = int(rng.integers(0, 120))
+        words[at:at] = [w for w in own if rng.random() > 0.1 * (k % 5)]
+        texts.append(" ".join(words[: 40 if k % 7 == 0 else None]))
+    texts += ["", None, "t1", items[3] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): tuple(r)[2:5] for r in decontaminate(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+    bags = [re.findall(r"\w+", x) for x in items]
+    df = {t: sum(t in b for b in bags) for b in bags for t in b}
+    idf = {t: math.log(1 + (30 - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    mean = sum(map(len, bags)) / 30
+
+    def ordered(part, span):
+        best = [0.0] * (len(span) + 1)
+        for w in part:
+            new = best[:]
+            for k, x in enumerate(span):
+                new[k + 1] = max(new[k], best[k + 1], best[k] + idf[w] if x == w else 0.0)
+            best = new
+        return best[-1] / sum(idf[w] for w in part)
+
+    want = {}
+    for d, text in enumerate(texts):
+        words = re.findall(r"\w+", text or "")
+        for i, bag in enumerate(bags):
+            weight = {t: idf[t] * bag.count(t) * (K1 + 1) / (bag.count(t) + K1 * (1 - B + B * len(bag) / mean)) for t in set(bag)}
+            size = math.ceil(SPAN * len(bag))
+            for at in range(len(words)):
+                span = words[at : at + size]
+                score = sum(weight[t] for t in set(span) & set(bag)) / sum(weight.values())
+                if words[at] in weight and score >= THRESHOLD - 1e-6:
+                    halves = [ordered(re.findall(r"\w+", p), span) for p in parts(items[i])]
+                    if min(halves) > min(want.get((d, i), (0, -1, -1))[1:]) + 1e-8:
+                        want[d, i] = (score, *halves)
+    assert set(found) == set(want) and len(want) > 30
+    assert all(min(found[k][1:]) == pytest.approx(min(want[k][1:]), abs=1e-5) for k in want)
+    assert decontam.PASSAGE > 1
+
+
 def test_wand_finds_what_scoring_all_finds(spark):
     from roadweave.llm.decontam import Index, term_lists
 

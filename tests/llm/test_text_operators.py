@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from roadweave.llm import textkernel as K
-from roadweave.llm.license_scan import BASE, license_scan
+from roadweave.llm.license_scan import BASE, NOTICES, Notice, license_scan, scan_chunk
 from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import heap_merge, ngram_join
 from roadweave.llm.packing import BestFit, best_fit_packing, sequences
@@ -301,3 +302,61 @@ def test_license_scan(spark, docs, texts, no_docs):
         assert tuple(got[k])[1:6] == (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))
     assert got[1003]["labels"] == "apache-2.0" and 0.9 < got[1003]["score"] < 1 and got[1003]["spans"][0]["edits"] == 2
     assert license_scan(no_docs).count() == 0
+
+
+SIBLINGS = {
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+    "CC BY ND 4.0": "cc-by",
+    "licensed under cc by nd 4.0": "cc-by,cc-by-nd-4.0",
+    "GNU General Public License version 2": "gpl,gpl-2.0",
+    "GNU General Public Licence, versoin 3.": "gpl-3.0",
+    "GNU Lesser General Public License version 3": "lgpl",
+    "Apache License, Version 1.1": "apache,apache-1.1",
+    "Licensed under the Apache License, Version 3.1": "apache",
+    "Mozilla Public License Version 1.1": "mpl-1.1",
+    "released under the BSD license": "bsd-notice",
+    "relesed under teh MIT license": "mit,mit-notice",
+    "released under the permit license": "",
+}
+
+
+def test_siblings_are_told_apart():
+    rows = scan_chunk(pa.array(list(SIBLINGS)), BASE, [Notice(*x) for x in NOTICES.items()])
+    assert {t: r[5] for t, r in zip(SIBLINGS, rows)} == SIBLINGS
+    row, = scan_chunk(pa.array(["foo relesed under the mit license released under the mit license bar"]), {}, [Notice("released under the [mit] license", "mit")])
+    assert [(x["start"], x["end"], x["edits"]) for x in row[7]] == [(4, 33, 1), (34, 64, 0)]
+
+
+def edits_within(text, wording, most):
+    """Ends of approximate matches in text, by the table of edit distances."""
+    column = list(range(len(wording) + 1))
+    for c in text:
+        before, column = column, [0]
+        for k, w in enumerate(wording):
+            column.append(min(before[k] + (w != c), before[k + 1] + 1, column[k] + 1))
+        if column[-1] <= most:
+            return True
+    return False
+
+
+def test_seeds_lose_no_notice():
+    """Notices with random edits in random words: what is found, against the table of edit distances over whole texts."""
+    rng = random.Random(3)
+    notices = [Notice(re.sub(r"[\[\]]", "", x), y) for x, y in NOTICES.items()]
+    texts = []
+    for _ in range(400):
+        raw = list(rng.choice(notices).raw.decode())
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(raw))
+            raw[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+        texts.append(f"some {'words ' * rng.randint(0, 9)}{''.join(raw).strip()} and more")
+    for text, row in zip(texts, scan_chunk(pa.array(texts), {}, notices)):
+        low = " ".join(alnum_words(text))
+        found = {x["label"] for x in row[7]}
+        for notice in notices:
+            wording = notice.raw.decode()
+            near = edits_within(f" {low} ", f" {wording} ", notice.errors)
+            if notice.label in found:
+                assert edits_within(low, wording, notice.errors)
+            else:
+                assert not near or not notice.pattern.search(low.encode())
