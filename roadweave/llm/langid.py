@@ -1,6 +1,6 @@
 """Language of web pages from all that speaks for it: text, declared language, address, and what the host's other pages are.
 
-log P(l | page) is the sum of: the text's likelihood (hashed byte 4-grams, one table per language from at most SAMPLE labelled documents), tempered to EFFECTIVE
+log P(l | page) is the sum of: the text's likelihood (hashed byte 4-grams, one table per language from at most SAMPLE of its labelled documents), tempered to EFFECTIVE
 4-grams as neighbours depend on each other; the likelihood of the declared language and of the address' language, each right with a fixed share; and a prior of
 the host, smoothed by its domain's, that by its suffix', that by all pages'. Priors are grouped sums of the pages' own posteriors without a prior.
 """
@@ -9,14 +9,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm import textkernel as K
 from roadweave.llm.shared import chunks, written
 
-#: Labelled documents to learn from, and languages told apart (the most frequent).
-SAMPLE, LANGUAGES = 3000, 64
+#: Labelled documents of a language to learn from. All languages that have one are told apart: each takes 256 kB of the table.
+SAMPLE = 1000
 BUCKETS = 1 << 16
 EFFECTIVE = 40.0
 #: How often a declaration, and an address, names the language right.
@@ -26,8 +26,10 @@ SMOOTH = 5.0
 #: Country suffixes and their main language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv"}
 
-HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
-DECLARATION = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
+#: What doesn't show: scripts, styles and comments up to their end or that of the page, tags, entities. No place is looked at twice.
+HIDDEN = re.compile(rb"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>|&[#\w]{1,32};", re.S | re.I)
+DECLARATION = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})|<meta\b([^<>]*)", re.I)
+META = re.compile(r"content\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:
@@ -38,26 +40,45 @@ def gram_buckets(data: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
+def declaration(html: str) -> str | None:
+    """The language that the page declares first, in its root tag or a content-language tag."""
+    for m in DECLARATION.finditer(html):
+        own = m[1]
+        if own is None and "content-language" in m[2].lower():
+            own = (x := META.search(m[2])) and x[1]
+        if own:
+            return own.lower()
+    return None
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The languages, and log probabilities by 4-gram bucket and language, from at most ``sample`` documents with a text and a language."""
+    """The languages, and log probabilities by 4-gram bucket and language, from at most ``sample`` documents of each with a text and a language."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang <> ''")
-    names = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chosen = own.where(F.col("lang").isin(names)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = own.join(F.broadcast(chosen), "doc_id").select("lang", "text").where(F.col("lang").isin(names))
+    have = sorted((r["lang"], r["count"]) for r in own.groupBy("lang").count().collect())
+    names = [lang for lang, _ in have]
+    if not names:
+        return names, np.zeros((BUCKETS, 0), np.float32)
+    # about as many as wanted by a hash of the id first, a few more, then the least hashes of those
+    share = F.create_map(*[F.lit(x) for lang, n in have for x in (lang, min(1.0, (sample + 5 * sample**0.5) / n))])[F.col("lang")]
+    order = F.xxhash64("doc_id", "text")
+    some = own.withColumn("place", order).where(F.pmod(F.col("place"), F.lit(1 << 30)) < share * (1 << 30))
+    found = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= sample).select("lang", "text")
+    number = {lang: k for k, lang in enumerate(names)}
 
     def count(batches):
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                total[names.index(lang)] += np.bincount(gram_buckets(np.frombuffer((value or "").encode(), np.uint8)), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], ["at", "n"])
+                own = total.setdefault(number[lang], np.zeros(BUCKETS, np.int64))
+                own += np.bincount(gram_buckets(np.frombuffer((value or "").encode(), np.uint8)), minlength=BUCKETS)
+        for k, own in total.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(own[at])], ["lang", "at", "n"])
 
-    table = np.zeros(len(names) * BUCKETS)
-    for at, n in found.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # bounded: LANGUAGES * BUCKETS
-        table[at] = n
-    table = table.reshape(len(names), BUCKETS) + 0.1
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if names else np.zeros((BUCKETS, 0), np.float32)
+    table = np.full((len(names), BUCKETS), 0.1)
+    sums = found.mapInArrow(count, "lang long, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    table[np.asarray(sums["lang"]), np.asarray(sums["at"])] += np.asarray(sums["n"])  # bounded: a table of BUCKETS for each language
+    return names, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
 
 
 def visible(html: str) -> bytes:
@@ -77,8 +98,7 @@ def _evidence(held):
             for html in chunk.column("html").to_pylist():
                 grams = gram_buckets(np.frombuffer(visible(html or ""), np.uint8))
                 x = table[grams].sum(axis=0, dtype=np.float64) * (EFFECTIVE / max(len(grams), EFFECTIVE)) if len(grams) else np.zeros(len(names))
-                m = DECLARATION.search(html or "")
-                declared.append((m[1] or m[2]).lower() if m else None)
+                declared.append(declaration(html or ""))
                 own.append(x.tolist())
                 text.append(names[int(x.argmax())] if len(grams) and len(names) else None)
             yield pa.RecordBatch.from_arrays([chunk.column("page_id"), chunk.column("url"), pa.array(own, pa.list_(pa.float64())), pa.array(text, pa.string()), pa.array(declared, pa.string())], ["page_id", "url", "likelihood", "text_lang", "declared_lang"])
@@ -94,8 +114,6 @@ def language(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     """
     spark = pages.sparkSession
     names, table = learn(docs, sample)
-    order = sorted(range(len(names)), key=lambda k: names[k])
-    names, table = [names[k] for k in order], table[:, order]
     held = spark.sparkContext.broadcast((names, table))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     evidence = source.mapInArrow(_evidence(held), "page_id long, url string, likelihood array<double>, text_lang string, declared_lang string")

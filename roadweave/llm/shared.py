@@ -1,6 +1,7 @@
 """The shared folder, chunks of documents, and blocks of rows that are dealt out by a key."""
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ SPREAD, BUCKET_BYTES, PARTITION_BYTES = 8, 4 << 20, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is set, as in tests, a folder of this machine takes its place."""
+    """The folder all executors share. Only where none is set and all runs on this machine, as in tests, a folder of its own takes its place."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roadweave-"))
         at = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -31,11 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ends_with_session(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder, so that what follows neither computes them anew nor depends on an executor."""
+    """The same rows from a table in the shared folder, so that what follows neither computes them anew nor depends on an executor.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    ends_with_session(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 

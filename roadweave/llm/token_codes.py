@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import shared_dir, text
+from roadweave.llm.shared import ends_with_session, shared_dir, text
 from roadweave.llm.token_ids import token_ids
 
 MAGIC = b"RWDAC002"
@@ -251,10 +251,11 @@ def read_codes(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def token_codes(docs: DataFrame, tokenizer: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Writes the codes of all documents to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
+    """Writes the codes of all documents to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32. The files go when the application ends.
 
     A null or empty text is the end id alone; rows that share a doc_id follow each other by text. Other columns are left out.
     """
     path = f"{shared_dir(docs.sparkSession)}/codes-{uuid.uuid4().hex}"
     write_codes(docs, path, tokenizer, widths)
+    ends_with_session(docs.sparkSession, path)
     return read_codes(docs.sparkSession, path, ids=False)

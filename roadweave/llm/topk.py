@@ -1,6 +1,6 @@
 """Exact top-k by inner product, by refining global histograms of the scores.
 
-Queries come in blocks of at most about BLOCK, each broadcast by itself. Every round scores the block against all candidates where
+Queries that are alike are asked once. They come in blocks of about BLOCK, dealt by id and vector, each broadcast by itself. Every round scores the block against all candidates where
 they are read and counts, per query, how many scores fall in each of BINS parts of the range that holds the k-th; counts add up
 over all tasks and name the part for the next round, until it is a single number. A last pass keeps what is above it, and of what is
 equal each task's k smallest ids.
@@ -73,7 +73,7 @@ def exact_topk(vectors: DataFrame, queries=None, k: int = 10) -> DataFrame:
 
     Score: inner product of floor(1024 * component). ``queries``: which rows ask, default vec_id % 100 = 0; all rows with another vec_id
     answer. Rows without an id, null vectors, empty ones, null or non-finite components, or another number of components than most rows
-    have (the smaller number if two are as common) take no part. Rows that share an id answer each for itself, never each other.
+    have (the smaller number if two are as common) take no part. Rows that share an id answer each for itself, never each other, and ask each for itself.
     """
     spark = vectors.sparkSession
     queries = F.col("vec_id") % 100 == 0 if queries is None else queries
@@ -90,10 +90,11 @@ def exact_topk(vectors: DataFrame, queries=None, k: int = 10) -> DataFrame:
     if bound >= 1 << 62:
         raise ValueError("scores that 64 bits can't hold")
     kind = np.float64 if bound < 1 << 53 else np.int64
-    blocks = -(-sizes["q"] // BLOCK)
+    asked = rows.where(queries).groupBy("vec_id", "embedding").agg(F.count("*").alias("times"))
+    blocks = -(-asked.count() // BLOCK)
     found = []
     for number in range(blocks):
-        block = rows.where(queries & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number)).collect()
+        block = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == number).collect()
         if not block:
             continue
         ids = np.array([r["vec_id"] for r in block], np.int64)
@@ -117,9 +118,10 @@ def exact_topk(vectors: DataFrame, queries=None, k: int = 10) -> DataFrame:
             span = step
         kth = np.where(short, -bound - 1, low)
         hits = rows.mapInArrow(_above(dim, ids, matrix, kth, k), HIT)
-        names = spark.createDataFrame([(q, int(x)) for q, x in enumerate(ids)], "query int, query_id long")
+        names = spark.createDataFrame([(q, r["vec_id"], r["times"]) for q, r in enumerate(block)], "query int, query_id long, times int")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-        found.append(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(F.broadcast(names), "query").select("query_id", "rank", "vec_id", "score"))
+        found.append(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(F.broadcast(names), "query"))
+        found[-1] = found[-1].withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select("query_id", "rank", "vec_id", "score")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

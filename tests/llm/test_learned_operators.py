@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadweave.llm.decontam import B, K1, SPAN, THRESHOLD, decontaminate, parts
-from roadweave.llm.langid import language
+from roadweave.llm.langid import declaration, language, visible
 from roadweave.llm.topk import exact_topk
 from roadweave.llm.toxicity import HIDDEN, RUN, SPACED, CharacterModel, disguised, lattice, restore, scored_rows, toxicity, viterbi
 
@@ -209,6 +211,46 @@ def test_language(spark):
     assert all(r["lang"] is None for r in language(frame, docs.limit(0)).collect())
 
 
+def test_declarations_and_hidden_parts():
+    for html, want in {"<html lang='DE-at'>": "de", "<meta http-equiv='Content-Language' content='fr'>": "fr", "<meta name=x content='en'><meta content-language content=es>": "es", "<html><body lang=en>": None, "": None}.items():
+        assert declaration(html) == want
+    assert visible("a<script>b</script>c<style>d<!--e--></style>f<!--g-->h<br>i&amp;j").split() == b"a c f h i j".split()
+    assert visible("a<script>b").split() == [b"a"] and visible("1 < 2 and 3").split() == b"1 < 2 and 3".split()
+    for hard in ("<script " * 200_000, "<html " * 200_000, "<!-- " * 200_000, "<meta content-language " * 100_000, "<" * 500_000):
+        began = time.time()
+        visible(hard), declaration(hard)
+        assert time.time() - began < 5
+
+
 def test_language_on_pages(spark):
-    found = language(spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/documents.parquet")).collect()
-    assert np.mean([r["lang"] == r["declared_lang"] for r in found]) >= 0.95 and not any(math.isnan(r["probability"]) for r in found)
+    """Pages whose declaration is taken away or says another language, against what they declared: text, address and host decide."""
+    pages, docs = spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    truth = {r["page_id"]: r["declared_lang"] for r in language(pages, docs).collect()}
+    assert all(truth.values())
+    for change, said in (("", None), (" lang='en'", "en")):
+        found = language(pages.withColumn("html", F.regexp_replace("html", r"(?i)\s+lang\s*=\s*[\"']?[a-z-]+[\"']?", change)), docs).collect()
+        assert {r["declared_lang"] for r in found} == {said}
+        assert np.mean([r["lang"] == truth[r["page_id"]] for r in found]) >= 0.95 and not any(math.isnan(r["probability"]) for r in found)
+
+
+def test_many_languages(spark):
+    """No language is left out, however rare."""
+    rng = np.random.default_rng(2)
+    docs = [(100 * k + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in rng.integers(0, 30, 40)), f"l{k}") for k in range(80) for j in range(1 if k else 40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    pages = frame.selectExpr("doc_id AS page_id", "'http://x.example' AS url", "text AS html", "lang AS want").where("doc_id % 100 = 0")
+    got = language(pages, frame, 5).join(pages.select("page_id", "want"), "page_id").collect()
+    assert len(got) == 80 and np.mean([r["lang"] == r["want"] for r in got]) > 0.9
+
+
+def test_topk_of_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    base = [(k, [float(x) for x in rng.integers(-9, 9, 3)], 0) for k in range(30)]
+    rows = [*base, *([(100, [1.0, 2.0, 3.0], 0)] * 5), (100, [3.0, 1.0, 0.0], 0)]
+    got = sorted(tuple(r) for r in exact_topk(vectors(spark, rows)).collect())
+    want = []
+    for q, (query, v, _) in enumerate(rows):
+        if query % 100 == 0:
+            best = sorted((-int(np.floor(1024 * np.array(v)) @ np.floor(1024 * np.array(x))), k) for k, x, _ in rows if k != query)[:10]
+            want += [(query, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
+    assert got == sorted(want)
