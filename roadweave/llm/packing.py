@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.shared import text, written
-from roadweave.llm.token_ids import token_ids
+from roadweave.llm.token_ids import by_run, token_ids
 
 SEQUENCE, END_ID = 2048, 0
 #: Open sequences of a packer, and pieces that it takes about.
@@ -64,8 +64,8 @@ def _pieces(tokenizer: str, size: int):
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = tokens.many([value.as_py()])[0] + end
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), by_run(tokens, batch.column("text"))):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     own = raw[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm.shared import ends_with_session, shared_dir, text
-from roadweave.llm.token_ids import token_ids
+from roadweave.llm.token_ids import by_run, token_ids
 
 MAGIC = b"RWDAC002"
 WIDTHS = (8, 8, 16)
 RANK = 512
-#: Ids in a shard, so that a file has some 10 MB; a longer document is a shard of its own.
-SHARD_IDS = 1 << 22
+#: Ids in a shard, so that a file has some 5 MB; a longer document is a shard of its own.
+SHARD_IDS = 1 << 21
 END_ID = 0
 
 INDEX = "doc_id long, file string, part int, first long, place long, n_tokens long"
@@ -142,8 +142,8 @@ def _shards(tokenizer: str, widths: tuple[int, ...], shard_ids: int):
 
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = tokens.many([value.as_py()])[0] + end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), by_run(tokens, batch.column("text"))):
+                own += end
                 if docs and total + len(own) // 4 > shard_ids:
                     yield image()
                     first, docs, ids, total = first + total, [], [], 0

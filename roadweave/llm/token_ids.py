@@ -4,30 +4,49 @@ import json
 import os
 import re
 from array import array
-from itertools import compress
-from operator import not_
+from collections.abc import Iterator
 
 import numpy as np
 
+from roadweave.llm import textkernel as K
 from roadweave.llm.shared import HELD
 
-#: Pieces kept by a worker, and the longest one kept; when full, the store starts anew.
-KEPT, LONGEST = 1_500_000, 48
-#: Stand-ins for what is cut off words: stops and commas after a letter or digit, single line ends; NO_SPACE: no space before.
-STOP_LINE, COMMA, STOP, NO_SPACE, LINE = "\x01\x02\x03\x04\x05"
-TAKEN = (STOP_LINE, COMMA, STOP, NO_SPACE, LINE)
-RAW = {STOP_LINE: ".\n", COMMA: ",", STOP: ".", LINE: "\n"}
-#: Where the stand-ins would change what is joined: other signs before a stop or comma, white space beside white space.
+#: Pieces kept by a worker, in two generations, and the longest one kept; bytes of text that are cut at once.
+KEPT, LONGEST, RUN = 1_000_000, 48, 4 << 20
 #: Letters and digits that stay one letter or digit in any case and beside any sign: ASCII and Latin ones. Capital dotted I becomes two characters.
 PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-UNEVEN_STOP, TWO_SPACES = re.compile(rf"[.,](?:(?<=[^{PLAIN}].)|(?<=^.))[ \n]"), re.compile(r"\s\s")
 BETWEEN_BARS = re.compile(rf"[{PLAIN}](?:.*[{PLAIN}])?", re.S)
-CUT = re.compile(r"(?<!^) (?=\S)")
+#: Bytes that begin no white space, by themselves or with those that may follow; ASCII letters and digits.
+DARK, PLAIN_BYTE = np.ones(256, bool), np.zeros(256, bool)
+DARK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE3]] = False
+PLAIN_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 _loaded: dict[str, "TokenIds"] = {}
 HELD.append(_loaded.clear)
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a text may be cut before each of its bytes: before a space that something dark follows, around a single line end between
+    dark ASCII, and between a PLAIN letter or digit and a stop or comma that such a space or line end follows."""
+    at = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(3, np.uint8)])  # two before, three behind
+    here, one, two, three = at[2:-3], at[3:-2], at[4:-1], at[5:]
+    before, earlier = at[1:-4], at[:-5]
+    dark = DARK[one]
+    # of the characters E2 80 .. and E2 81 .. some are white space
+    dark &= (one != 0xE2) | ((two != 0x80) & (two != 0x81)) | ((three >= 0x8B) & (three != 0xA8) & (three != 0xA9) & (three != 0xAF) & (three != 0x9F))
+    space = (here == 0x20) & dark
+    line = (here == 0x0A) & dark & DARK[before] & (before < 0x80)
+    latin = (before >= 0x80) & (before < 0xC0) & (earlier >= 0xC3) & (earlier <= 0xC5)
+    latin &= ~((earlier == 0xC3) & ((before == 0x97) | (before == 0xB7))) & ~((earlier == 0xC4) & (before == 0xB0))
+    stop = ((here == 0x2C) | (here == 0x2E)) & (PLAIN_BYTE[before] | latin)
+    out = space | line
+    stop[:-1] &= out[1:]
+    stop[-1:] = False
+    out |= stop
+    out[1:] |= line[:-1]
+    return out
+
+
 #: How the vocabularies whose texts may be cut normalize and split, as their files say it.
 WORDS_APART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LOWER_CASE = ["NFC", "Replace", "Lowercase"]
@@ -53,8 +72,8 @@ def may_cut(spec: dict) -> bool:
 class TokenIds:
     """The ids as little-endian unsigned 32-bit integers, those of ``encode(text, add_special_tokens=False)`` of the whole text.
 
-    Where ``may_cut`` holds, a text is cut at spaces before a sign, between a PLAIN letter or digit and a stop or comma, and around single line
-    ends, and each piece is encoded by itself, once in a while. Texts of other vocabularies are encoded whole.
+    Where ``may_cut`` holds, texts are cut where ``cuts`` says and each distinct piece is encoded by itself, once in a while. Pieces are told apart
+    by two hashes that do not depend on each other. Texts of other vocabularies, and such as may hold a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -64,58 +83,98 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             self.cut = may_cut(json.load(file))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.bars = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a | b", "a|b")]
         self.bars = [x[1] if len(x) == 3 else None for x in self.bars]
 
     def encode_apart(self, pieces: list[str], spaced: bool) -> list[bytes]:
-        """Ids of pieces as one text with bars between, where a bar is always an id of its own. No piece holds a bar."""
+        """Ids of pieces as one text with bars between, where a bar is always an id of its own. No piece holds a bar; ``spaced``: each begins with a space."""
         bar = self.bars[0 if spaced else 1]
         if bar is None:
-            return self.encode([" " + p for p in pieces] if spaced else pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " | ".join(pieces) if spaced else "|".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            return self.encode(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([(" |" if spaced else "|").join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == bar).tolist()
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
     def encode_fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        spaced = [p for p in pieces if p and p[0] not in TAKEN and "|" not in p]
-        after = [p for p in pieces if p[:1] == NO_SPACE and BETWEEN_BARS.fullmatch(p, 1) and "|" not in p]
+        spaced = [p for p in pieces if p[0] == " " and "|" not in p]
+        after = [p for p in pieces if BETWEEN_BARS.fullmatch(p) and "|" not in p]
         out = dict(zip(spaced, self.encode_apart(spaced, True), strict=True)) if spaced else {}
         if after:
-            out.update(zip(after, self.encode_apart([p[1:] for p in after], False), strict=True))
+            out.update(zip(after, self.encode_apart(after, False), strict=True))
         rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self.encode([RAW.get(p) or (p[1:] if p[:1] == NO_SPACE else " " + p) for p in rest])) if rest else ())
+        out.update(zip(rest, self.encode(rest)) if rest else ())
         return out
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str]:
-        if text[0].isspace() or text[-1].isspace() or TWO_SPACES.search(text) or UNEVEN_STOP.search(text):
-            first, *rest = CUT.split(text)
-            return [NO_SPACE + first, *rest]
-        text = text.replace(".\n", f" {STOP_LINE} {NO_SPACE}").replace("\n", f" {LINE} {NO_SPACE}").replace(", ", f" {COMMA} ").replace(". ", f" {STOP} ")
-        return (NO_SPACE + text).split(" ")
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.known.get, pieces))
+        missing = [k for k, x in enumerate(found) if x is None]
+        fresh = []
+        for k in missing:
+            found[k] = self.older.get(pieces[k])
+            if found[k] is None:
+                fresh.append(k)
+        if fresh:
+            ids = self.encode_fresh([pieces[k].decode() for k in fresh])
+            for k in fresh:
+                found[k] = ids[pieces[k].decode()]
+        if len(self.known) + len(missing) > KEPT // 2:
+            self.older, self.known = self.known, {}
+        self.known.update((pieces[k], found[k]) for k in missing if len(pieces[k]) <= LONGEST)
+        return found
+
+    def run(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts, cut all at once."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(x) for x in raw])
+        begins = cuts(data)
+        begins[ends - [len(x) for x in raw]] = True  # a stop before the end of a text stays with its word
+        late = ends[:-1][ends[:-1] < len(data)]
+        for k in (1, 2):  # what was seen behind the end belongs to the next text
+            begins[np.maximum(late - k, 0)] = False
+        begins[ends - [len(x) for x in raw]] = True
+        starts = np.flatnonzero(begins)
+        stops = np.append(starts[1:], len(data))
+        hashes, second = K.word_hash(data, starts, stops), K.word_hash(data, starts, stops, K.MIX[1])
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (second != second[first][which]).any():
+            return self.encode([x.decode() for x in raw])
+        flat = data.tobytes()
+        found = self.look_up([flat[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
+        size = np.array([len(x) for x in found]) // 4
+        base = np.cumsum(size) - size
+        length = size[which]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(base[which] - upto[:-1], length) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        edges = 4 * upto[np.searchsorted(starts, np.concatenate([[0], ends]))]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not text or not self.cut or any(x in text for x in TAKEN):
-                out.append(self.encode([text])[0] if text else b"")
+        out = [b""] * len(texts)
+        own, raw, total = [], [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cut or "<|" in text:
+                out[k] = self.encode([text])[0]
                 continue
-            pieces = self.pieces(text)
-            found = list(map(self.known.get, pieces))
-            missing = list(compress(range(len(found)), map(not_, found)))
-            if missing:
-                fresh = {pieces[k] for k in missing}
-                if len(self.known) + len(fresh) > KEPT:
-                    self.known.clear()
-                fresh = self.encode_fresh(list(fresh))
-                for k in missing:
-                    found[k] = fresh[pieces[k]]
-                self.known.update(fresh if max(map(len, fresh)) <= LONGEST else {p: ids for p, ids in fresh.items() if len(p) <= LONGEST})
-            out.append(b"".join(found))
+            own.append(k)
+            raw.append(text.encode())
+            total += len(raw[-1])
+            if total > RUN:
+                for at, ids in zip(own, self.run(raw)):
+                    out[at] = ids
+                own, raw, total = [], [], 0
+        if raw:
+            for at, ids in zip(own, self.run(raw)):
+                out[at] = ids
         return out
 
 
@@ -124,3 +183,15 @@ def token_ids(path: str) -> TokenIds:
     if path not in _loaded:
         _loaded[path] = TokenIds(path)
     return _loaded[path]
+
+
+def by_run(tokens: TokenIds, column) -> Iterator[bytes]:
+    """The ids of each text of an Arrow column, RUN bytes of text at a time."""
+    held, total = [], 0
+    for value in column:
+        held.append(value.as_py())
+        total += len(held[-1] or "")
+        if total > RUN:
+            yield from tokens.many(held)
+            held, total = [], 0
+    yield from tokens.many(held)
