@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import text, written
+from roadweave.llm.shared import text, trim, written
 from roadweave.llm.token_ids import by_run, token_ids
 
 SEQUENCE, END_ID = 2048, 0
@@ -71,6 +71,7 @@ def _pieces(tokenizer: str, size: int):
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE_ARROW)], schema=PIECE_ARROW)
+        trim()
 
     return run
 

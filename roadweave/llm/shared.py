@@ -124,10 +124,15 @@ def give_back() -> None:
     """Returns freed memory to the machine: a worker that waits for its next task holds none of the last one's."""
     for forget in HELD:
         forget()
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the machine and keeps what is remembered."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
 
 
 def by_chunk(docs: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[tuple[int, int, int, bytes]]], most: int = CHUNK_BYTES) -> DataFrame:

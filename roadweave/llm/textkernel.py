@@ -108,6 +108,23 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     return out
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span has the bytes of the span whose number ``other`` gives."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    at_byte = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = np.flatnonzero(other != np.arange(len(starts)))
+    done = 0
+    while len(left):
+        spare = 8 * np.maximum(0, done + 8 - size[left]).astype(np.uint64)
+        if (((at_byte[starts[left] + done] ^ at_byte[starts[other[left]] + done]) << spare) != 0).any():
+            return False
+        done += 8
+        left = left[size[left] > done]
+    return True
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, most: int = 1 << 20, salt: int = MIX[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and start of every word, A-Z counting as a-z. Documents are taken in runs of about ``most`` bytes."""
     found = []

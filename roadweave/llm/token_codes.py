@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import ends_with_session, shared_dir, text
+from roadweave.llm.shared import ends_with_session, shared_dir, text, trim
 from roadweave.llm.token_ids import by_run, token_ids
 
 MAGIC = b"RWDAC002"
@@ -28,8 +28,8 @@ RANK = 512
 SHARD_IDS = 1 << 21
 END_ID = 0
 
-INDEX = "doc_id long, file string, part int, first long, place long, n_tokens long"
-INDEX_ARROW = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64())])
+INDEX = "doc_id long, file string, part int, first long, place long, n_tokens long, ids_crc32 long"
+INDEX_ARROW = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("part", pa.int32()), *((x, pa.int64()) for x in ("first", "place", "n_tokens", "ids_crc32"))])
 
 
 def encode(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, starts: np.ndarray, widths: tuple[int, ...] = WIDTHS, part: int = 0, first: int = 0) -> bytes:
@@ -42,7 +42,10 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, starts: np.n
         go = more > 0
         kind = np.uint8 if width <= 8 else np.uint16 if width <= 16 else np.uint32
         bits = np.packbits(go, bitorder="little")
-        ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(go, np.arange(0, len(go), RANK), dtype=np.int64))]) if len(go) else np.zeros(1)
+        ranks = np.zeros(-(-len(go) // RANK) + 1, np.int64)
+        ones = np.bitwise_count(bits)
+        ones = np.concatenate([ones, np.zeros(-len(ones) % (RANK // 8), np.uint8)]).reshape(-1, RANK // 8).sum(axis=1, dtype=np.int64)
+        np.cumsum(ones, out=ranks[1:])
         levels += [(rest & np.uint32((1 << width) - 1)).astype(kind).tobytes(), bits.tobytes(), ranks.astype("<u4").tobytes()]
         rest = more[go]
     head = np.array([len(ids), len(doc_ids), part, first, len(widths), *widths, *map(len, levels)], "<u8")
@@ -124,8 +127,9 @@ class Shard:
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Each document's id, start in the shard and ids."""
         docs, starts, ends = self.places()
+        ids = self.slice(0, self.n_ids)
         for doc, lo, hi in zip(docs, starts.tolist(), ends.tolist()):
-            yield doc, lo, self.slice(lo, hi)
+            yield doc, lo, ids[lo:hi]
 
 
 def _shards(tokenizer: str, widths: tuple[int, ...], shard_ids: int):
@@ -152,6 +156,8 @@ def _shards(tokenizer: str, widths: tuple[int, ...], shard_ids: int):
                 total += len(own) // 4
         if docs:
             yield image()
+            docs, ids = [], []
+        trim()
 
     return run
 
@@ -166,12 +172,14 @@ def _located(batches):
             shard = Shard(memoryview(content.as_buffer()))
             docs, lo, hi = shard.places()
             n = len(docs)
-            columns = [docs, [file] * n, [shard.part] * n, [shard.first] * n, lo, hi - lo]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, INDEX_ARROW)], schema=INDEX_ARROW)
+            sums = [zlib.crc32(ids.tobytes()) for _, _, ids in shard.documents()]
+            columns = [docs, pa.repeat(file, n), pa.repeat(shard.part, n), pa.repeat(shard.first, n), lo, hi - lo, sums]
+            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, INDEX_ARROW)], schema=INDEX_ARROW)
+    trim()
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, widths: tuple[int, ...] = WIDTHS, shard_ids: int = SHARD_IDS) -> None:
-    """Shards of all documents in ascending doc_id order (null first, equal ones by text), and their index, under ``path``."""
+    """Shards of all documents in ascending doc_id order (null first, equal ones by text), and their index as the files are read back, under ``path``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -182,7 +190,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, widths: tuple[int, .
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, file, part, first (ids of the part before the file), place (in the file), n_tokens."""
+    """doc_id, file, part, first (ids of the part before the file), place (in the file), n_tokens, ids_crc32, as the files were read back."""
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
@@ -223,39 +231,40 @@ class Codes:
 
 READ = "doc_id long, start long, n_tokens long, ids binary"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
-DIGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _read(base: dict[int, int], shape: pa.Schema):
+def _bases(spark: SparkSession, path: str) -> dict[int, int]:
+    """How many ids the parts before each part have: a number for each partition that wrote."""
+    base, total = {}, 0
+    for part, n in sorted(map(tuple, read_index(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())):
+        base[part], total = total, total + n
+    return base
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Per document doc_id, start (ids of all documents before it), n_tokens with the end id, and ids (little-endian
+    unsigned 32-bit), from the files."""
+    base = _bases(spark, path)
+
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                shard, rows = Shard(memoryview(content.as_buffer())), []
-                for doc, lo, ids in shard.documents():
-                    raw = ids.tobytes()
-                    rows.append((doc, base[shard.part] + shard.first + lo, len(ids), raw if "ids" in shape.names else zlib.crc32(raw)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+                shard = Shard(memoryview(content.as_buffer()))
+                rows = [(doc, base[shard.part] + shard.first + lo, len(ids), ids.tobytes()) for doc, lo, ids in shard.documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), READ_ARROW)], schema=READ_ARROW)
 
-    return run
-
-
-def read_codes(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """Per document doc_id, start (ids of all documents before it), n_tokens with the end id, and ``ids`` (little-endian
-    unsigned 32-bit) or else their crc32, from the files."""
-    sums = read_index(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a number for each partition that wrote
-    base, total = {}, 0
-    for part, n in sorted(sums):
-        base[part], total = total, total + n
-    return _files(spark, path).select("content").mapInArrow(_read(base, READ_ARROW if ids else DIGEST_ARROW), READ if ids else DIGEST)
+    return _files(spark, path).select("content").mapInArrow(run, READ)
 
 
 def token_codes(docs: DataFrame, tokenizer: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Writes the codes of all documents to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32. The files go when the application ends.
+    """Writes the codes of all documents to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
-    A null or empty text is the end id alone; rows that share a doc_id follow each other by text. Other columns are left out.
+    A null or empty text is the end id alone; rows that share a doc_id follow each other by text. Other columns are left out. The files go
+    when the application ends.
     """
-    path = f"{shared_dir(docs.sparkSession)}/codes-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
     write_codes(docs, path, tokenizer, widths)
-    ends_with_session(docs.sparkSession, path)
-    return read_codes(docs.sparkSession, path, ids=False)
+    ends_with_session(spark, path)
+    base = spark.createDataFrame(list(_bases(spark, path).items()), "part int, base long")
+    return read_index(spark, path).join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -12,7 +12,7 @@ from roadweave.llm import textkernel as K
 from roadweave.llm.shared import HELD
 
 #: Pieces kept by a worker, in two generations, and the longest one kept; bytes of text that are cut at once.
-KEPT, LONGEST, RUN = 1_000_000, 48, 4 << 20
+KEPT, LONGEST, RUN = 700_000, 48, 2 << 20
 #: Letters and digits that stay one letter or digit in any case and beside any sign: ASCII and Latin ones. Capital dotted I becomes two characters.
 PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 BETWEEN_BARS = re.compile(rf"[{PLAIN}](?:.*[{PLAIN}])?", re.S)
@@ -73,7 +73,7 @@ class TokenIds:
     """The ids as little-endian unsigned 32-bit integers, those of ``encode(text, add_special_tokens=False)`` of the whole text.
 
     Where ``may_cut`` holds, texts are cut where ``cuts`` says and each distinct piece is encoded by itself, once in a while. Pieces are told apart
-    by two hashes that do not depend on each other. Texts of other vocabularies, and such as may hold a special token, are encoded whole.
+    by a hash, and what it takes for alike is compared. Texts of other vocabularies, and such as may hold a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -98,14 +98,15 @@ class TokenIds:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
-    def encode_fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        spaced = [p for p in pieces if p[0] == " " and "|" not in p]
-        after = [p for p in pieces if BETWEEN_BARS.fullmatch(p) and "|" not in p]
-        out = dict(zip(spaced, self.encode_apart(spaced, True), strict=True)) if spaced else {}
-        if after:
-            out.update(zip(after, self.encode_apart(after, False), strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self.encode(rest)) if rest else ())
+    def encode_fresh(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        spaced, after, rest = [], [], []
+        for k, p in enumerate(pieces):
+            (rest if "|" in p else spaced if p[0] == " " else after if BETWEEN_BARS.fullmatch(p) else rest).append(k)
+        for own, how in ((spaced, lambda x: self.encode_apart(x, True)), (after, lambda x: self.encode_apart(x, False)), (rest, self.encode)):
+            if own:
+                for k, ids in zip(own, how([pieces[k] for k in own]), strict=True):
+                    out[k] = ids
         return out
 
     def encode(self, pieces: list[str]) -> list[bytes]:
@@ -114,19 +115,22 @@ class TokenIds:
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of distinct pieces."""
         found = list(map(self.known.get, pieces))
+        if None not in found:
+            return found
         missing = [k for k, x in enumerate(found) if x is None]
-        fresh = []
-        for k in missing:
-            found[k] = self.older.get(pieces[k])
-            if found[k] is None:
-                fresh.append(k)
-        if fresh:
-            ids = self.encode_fresh([pieces[k].decode() for k in fresh])
-            for k in fresh:
-                found[k] = ids[pieces[k].decode()]
-        if len(self.known) + len(missing) > KEPT // 2:
+        late = [pieces[k] for k in missing]
+        ids = list(map(self.older.get, late))
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(fresh, self.encode_fresh([late[k].decode() for k in fresh])):
+            ids[k] = x
+        for k, x in zip(missing, ids):
+            found[k] = x
+        if len(self.known) + len(late) > KEPT // 2:
             self.older, self.known = self.known, {}
-        self.known.update((pieces[k], found[k]) for k in missing if len(pieces[k]) <= LONGEST)
+        self.known.update(zip(late, ids))
+        for p in late if max(map(len, late)) > LONGEST else ():
+            if len(p) > LONGEST:
+                del self.known[p]
         return found
 
     def run(self, raw: list[bytes]) -> list[bytes]:
@@ -141,9 +145,9 @@ class TokenIds:
         begins[ends - [len(x) for x in raw]] = True
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(data))
-        hashes, second = K.word_hash(data, starts, stops), K.word_hash(data, starts, stops, K.MIX[1])
+        hashes = K.word_hash(data, starts, stops)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if (second != second[first][which]).any():
+        if not K.same_bytes(data, starts, stops, first[which]):
             return self.encode([x.decode() for x in raw])
         flat = data.tobytes()
         found = self.look_up([flat[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
