@@ -12,13 +12,15 @@ from roadweave.llm import textkernel as K
 from roadweave.llm.shared import HELD
 
 #: Pieces kept by a worker, in two generations, and the longest one kept; bytes of text that are cut at once.
-KEPT, LONGEST, RUN = 700_000, 48, 2 << 20
+KEPT, LONGEST, RUN = 1_200_000, 48, 4 << 20
 #: Letters and digits that stay one letter or digit in any case and beside any sign: ASCII and Latin ones. Capital dotted I becomes two characters.
 PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LETTERS = re.compile(f"[{PLAIN.removeprefix('0-9')}]+")
 BETWEEN_BARS = re.compile(rf"[{PLAIN}](?:.*[{PLAIN}])?", re.S)
 #: Bytes that begin no white space, by themselves or with those that may follow; ASCII letters and digits.
 DARK, PLAIN_BYTE = np.ones(256, bool), np.zeros(256, bool)
 DARK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE3]] = False
+UPPER_TO_LOWER = K.LOWER
 PLAIN_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 _loaded: dict[str, "TokenIds"] = {}
@@ -82,28 +84,45 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.cut = may_cut(json.load(file))
+            spec = json.load(file)
+        self.cut = may_cut(spec)
+        self.folds = self.cut and bool(spec["normalizer"])  # A-Z are a-z, and white space goes
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.bars = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a | b", "a|b")]
-        self.bars = [x[1] if len(x) == 3 else None for x in self.bars]
-
-    def encode_apart(self, pieces: list[str], spaced: bool) -> list[bytes]:
-        """Ids of pieces as one text with bars between, where a bar is always an id of its own. No piece holds a bar; ``spaced``: each begins with a space."""
-        bar = self.bars[0 if spaced else 1]
-        if bar is None:
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space, or end a word
+        self.edge[[k for token, k in vocab.items() if (token.endswith("</w>") if self.folds else token.startswith("\u0120"))]] = True
+        bar = self.tokenizer.encode("a|b", add_special_tokens=False).ids
+        self.bar = bar[1] if len(bar) == 3 else None
+
+    def encode_barred(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces as one text with bars between, where a bar is always an id of its own. No piece holds a bar or ends where it could join one."""
+        if self.bar is None:
+            return self.encode(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast(["|".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.bar)
+        return self.parts(ids, np.append(0, ends + 1), np.append(ends, len(ids)))
+
+    def encode_plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces as one text, where the ids show at which a piece begins (byte-level: with its one space) or ends (words of letters)."""
+        ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.folds else "").join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(pieces):
             return self.encode(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([(" |" if spaced else "|").join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == bar).tolist()
+        return self.parts(ids, np.append(0, at[:-1] + 1), at + 1) if self.folds else self.parts(ids, at, np.append(at[1:], len(ids)))
+
+    @staticmethod
+    def parts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
     def encode_fresh(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        spaced, after, rest = [], [], []
+        plain, barred, rest = [], [], []
         for k, p in enumerate(pieces):
-            (rest if "|" in p else spaced if p[0] == " " else after if BETWEEN_BARS.fullmatch(p) else rest).append(k)
-        for own, how in ((spaced, lambda x: self.encode_apart(x, True)), (after, lambda x: self.encode_apart(x, False)), (rest, self.encode)):
+            easy = LETTERS.fullmatch(p) if self.folds else p[0] == " " and " " not in p[1:]
+            (plain if easy else barred if "|" not in p and BETWEEN_BARS.fullmatch(p) else rest).append(k)
+        for own, how in ((plain, self.encode_plain), (barred, self.encode_barred), (rest, self.encode)):
             if own:
                 for k, ids in zip(own, how([pieces[k] for k in own]), strict=True):
                     out[k] = ids
@@ -115,9 +134,9 @@ class TokenIds:
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of distinct pieces."""
         found = list(map(self.known.get, pieces))
-        if None not in found:
-            return found
         missing = [k for k, x in enumerate(found) if x is None]
+        if not missing:
+            return found
         late = [pieces[k] for k in missing]
         ids = list(map(self.older.get, late))
         fresh = [k for k, x in enumerate(ids) if x is None]
@@ -136,6 +155,8 @@ class TokenIds:
     def run(self, raw: list[bytes]) -> list[bytes]:
         """The ids of texts, cut all at once."""
         data = np.frombuffer(b"".join(raw), np.uint8)
+        if self.folds:
+            data = UPPER_TO_LOWER[data]
         ends = np.cumsum([len(x) for x in raw])
         begins = cuts(data)
         begins[ends - [len(x) for x in raw]] = True  # a stop before the end of a text stays with its word
@@ -145,6 +166,9 @@ class TokenIds:
         begins[ends - [len(x) for x in raw]] = True
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(data))
+        begin_of = starts
+        if self.folds:  # nor does the space before a word matter
+            starts = starts + ((data[starts] == 0x20) & (stops - starts > 1))
         hashes = K.word_hash(data, starts, stops)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if not K.same_bytes(data, starts, stops, first[which]):
@@ -155,9 +179,10 @@ class TokenIds:
         base = np.cumsum(size) - size
         length = size[which]
         upto = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(base[which] - upto[:-1], length) + np.arange(upto[-1])
+        at = np.repeat((base[which] - upto[:-1]).astype(np.int32), length)
+        at += np.arange(upto[-1], dtype=np.int32)
         ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
-        edges = 4 * upto[np.searchsorted(starts, np.concatenate([[0], ends]))]
+        edges = 4 * upto[np.searchsorted(begin_of, np.concatenate([[0], ends]))]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
