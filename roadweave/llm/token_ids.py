@@ -20,7 +20,6 @@ BETWEEN_BARS = re.compile(rf"[{PLAIN}](?:.*[{PLAIN}])?", re.S)
 #: Bytes that begin no white space, by themselves or with those that may follow; ASCII letters and digits.
 DARK, PLAIN_BYTE = np.ones(256, bool), np.zeros(256, bool)
 DARK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE3]] = False
-UPPER_TO_LOWER = K.LOWER
 PLAIN_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 _loaded: dict[str, "TokenIds"] = {}
@@ -156,7 +155,7 @@ class TokenIds:
         """The ids of texts, cut all at once."""
         data = np.frombuffer(b"".join(raw), np.uint8)
         if self.folds:
-            data = UPPER_TO_LOWER[data]
+            data = np.where(np.append(data[1:], 0) < 0x80, K.LOWER[data], data)  # no mark beyond ASCII follows that could join the letter
         ends = np.cumsum([len(x) for x in raw])
         begins = cuts(data)
         begins[ends - [len(x) for x in raw]] = True  # a stop before the end of a text stays with its word
