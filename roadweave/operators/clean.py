@@ -3,10 +3,13 @@
 A device's fixes are ordered by (time, lat, lon), so repeated times have one order everywhere. Undefined speeds are null and drop nothing.
 """
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.geo import haversine_m, in_rings
+from roadweave.functions.geo import EARTH_RADIUS, haversine_m, in_rings
 
 INFINITE = 1.7976931348623157e308
 
@@ -71,20 +74,32 @@ def thin_consecutive(points: DataFrame, min_dist: float = 10.0) -> DataFrame:
 def thin_greedy(points: DataFrame, min_dist: float = 10.0) -> DataFrame:
     """Keeps a device's first fix, then each that is min_dist or more from the last one kept. Columns: device, time, lat, lon.
 
-    The fold needs a device's fixes in order in one place: an array per device. Devices longer than that should be segmented first.
+    Devices' fixes pass in order, sorted where they are dealt; all that is remembered is the last fix kept.
     """
     if min_dist <= 0:
         return points
-    fix = F.struct("time", "lat", "lon")
-    ordered = points.groupBy("device").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
-
-    def keep(kept, x):
-        last = F.element_at(kept, -1)
-        far = haversine_m(last["lat"], last["lon"], x["lat"], x["lon"]) >= min_dist
-        return F.when(F.size(kept) == 0, F.array(x)).when(far, F.concat(kept, F.array(x))).otherwise(kept)
-
-    empty = F.slice(F.col("fixes"), 1, 0)
-    return ordered.select("device", F.explode(F.aggregate("fixes", empty, keep)).alias("x")).select("device", "x.time", "x.lat", "x.lon")
+    rows = points.select("device", "time", "lat", "lon")
+
+    def run(batches):
+        device, last, begun = None, (0.0, 0.0, 0.0), False
+        for batch in batches:
+            keep = []
+            for own, lat, lon in zip(*(batch.column(c).to_pylist() for c in ("device", "lat", "lon"))):
+                here = None if lat is None or lon is None else (math.radians(lat), math.cos(math.radians(lat)), math.radians(lon))
+                if not begun or own != device:
+                    device, begun, far = own, True, True
+                elif here is None or last is None:
+                    far = False  # no distance is known
+                else:
+                    h = math.sin((here[0] - last[0]) / 2) ** 2 + here[1] * last[1] * math.sin((here[2] - last[2]) / 2) ** 2
+                    far = 2 * EARTH_RADIUS * math.asin(math.sqrt(min(1.0, max(0.0, h)))) >= min_dist
+                keep.append(far)
+                if far:
+                    last = here
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "device").sortWithinPartitions("device", "time", "lat", "lon").mapInArrow(run, rows.schema)
 
 
 def segments(points: DataFrame, gap_dt_s: float = 300.0, gap_ds_m: float = 500.0) -> DataFrame:

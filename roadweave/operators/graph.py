@@ -16,6 +16,8 @@ from roadweave.operators.components import checkpoint_dir, connected_components
 from roadweave.operators.spatial import close_pairs, crossings, k_nearest, nearest, radius_join
 
 EDGE = "edge long, u long, v long, coords array<struct<x: double, y: double>>, length double, frequency int"
+#: Parts in which new edges and nodes are numbered.
+NUMBER_BUCKETS = 4096
 COLUMNS = ("edge", "u", "v", "coords", "length", "frequency")
 
 
@@ -61,7 +63,7 @@ def remove_short_spurs(edges: DataFrame, min_len: float, rounds: int = 1000) ->
         if left.count() == edges.count():
             return left
         edges = left
-    return edges
+    raise RuntimeError(f"spurs are left after {rounds} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,10 +189,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u")).distinct()
 
 
+def counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """With consecutive numbers from 1: by a hash of the columns ``by``, in NUMBER_BUCKETS parts that are ordered each for itself, then by the columns."""
+    checkpoint_dir(rows.sparkSession)
+    own = rows.withColumn("_b", F.pmod(F.xxhash64(*by), F.lit(NUMBER_BUCKETS))).checkpoint()
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over NUMBER_BUCKETS rows at most
+    sizes = own.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(*by)) + F.col("_before")
+    return own.join(F.broadcast(sizes), "_b").withColumn(name, nth.cast("long")).drop("_b", "_before")
+
+
 def numbered(new: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """New edges with numbers after the largest. There are few: they are what an operator adds."""
+    """New edges with numbers after the largest."""
     top = edges.agg(F.coalesce(F.max("edge"), F.lit(-1)).alias("_top"))
-    return new.withColumn("_k", F.row_number().over(Window.orderBy(*by))).join(top, F.lit(True)).withColumn("edge", (F.col("_top") + F.col("_k")).cast("long")).drop("_k", "_top")
+    return counted(new, by, "_k").join(F.broadcast(top), F.lit(True)).withColumn("edge", (F.col("_top") + F.col("_k")).cast("long")).drop("_k", "_top")
 
 
 def straight(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -266,6 +278,8 @@ def stitches(nodes: DataFrame, edges: DataFrame, max_dist: float, k: int = 7, ro
         links = picked.join(left, "a").join(right, "b").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
         to = connected_components(links).withColumnRenamed("component", "to")
         own = own.join(to, F.col("component") == F.col("node"), "left").select("id", F.coalesce("to", "component").alias("component")).checkpoint()
+    else:
+        raise RuntimeError(f"components are left apart after {rounds} rounds")
     return chosen.select("a", "b")
 
 
@@ -294,7 +308,7 @@ def cut_edges(edges: DataFrame, cuts: DataFrame) -> DataFrame:
 def break_at_crossings(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that cross without a node get one there."""
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    found = crossings(edges).withColumn("_k", F.row_number().over(Window.orderBy("edge_a", "k_a", "edge_b", "k_b"))).join(top, F.lit(True)).withColumn("node", F.col("_top") + F.col("_k"))
+    found = counted(crossings(edges), ["edge_a", "k_a", "edge_b", "k_b"], "_k").join(F.broadcast(top), F.lit(True)).withColumn("node", F.col("_top") + F.col("_k"))
     checkpoint_dir(nodes.sparkSession)
     found = found.checkpoint()
     cuts = found.select(F.col("edge_a").alias("edge"), F.col("k_a").alias("k"), F.col("t_a").alias("t"), "node", "x", "y").union(found.select("edge_b", "k_b", "t_b", "node", "x", "y"))
@@ -323,7 +337,7 @@ def snap_to_edges(nodes: DataFrame, edges: DataFrame, radius: float) -> tuple[Da
         return nodes, edges
     checkpoint_dir(nodes.sparkSession)
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    snaps = edge_snaps(nodes, edges, radius).withColumn("_k", F.row_number().over(Window.orderBy("id"))).join(top, F.lit(True)).withColumn("node", F.col("_top") + F.col("_k")).checkpoint()
+    snaps = counted(edge_snaps(nodes, edges, radius), ["id"], "_k").join(F.broadcast(top), F.lit(True)).withColumn("node", F.col("_top") + F.col("_k")).checkpoint()
     wider = nodes.unionByName(snaps.select(F.col("node").alias("id"), "x", "y"))
     cut = cut_edges(edges, snaps.select("edge", "k", "t", "node", "x", "y")).checkpoint()
     return wider, cut.unionByName(straight(snaps.select(F.col("id").alias("a"), F.col("node").alias("b")), wider, cut))

@@ -559,7 +559,12 @@ def chain_totals(spark, sf_dir):
     return graph.chain_totals(streets(spark, sf_dir, 5)[1]).withColumn("length", F.round("length", 3))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FIXES}{FLAT}{MAIN}, e2 AS (SELECT u AS node, edge FROM se JOIN edge USING (u, v) UNION ALL SELECT v, edge FROM se JOIN edge USING (u, v)),
+th AS (SELECT min(edge) AS a, max(edge) AS b FROM e2 GROUP BY node HAVING count(*) = 2 AND min(edge) <> max(edge)), tb AS (SELECT a, b FROM th UNION SELECT b, a FROM th),
+cr AS (SELECT edge AS a, edge AS b FROM edge UNION SELECT cr.a, tb.b FROM cr JOIN tb ON tb.a = cr.b), cc AS (SELECT a AS edge, min(b) AS chain FROM cr GROUP BY 1),
+tips AS (SELECT chain, node FROM cc JOIN e2 USING (edge) GROUP BY 1, 2 HAVING count(*) = 1), ends AS (SELECT chain, min(node) AS a, max(node) AS b FROM tips GROUP BY 1)
+SELECT chain AS edge, coalesce(any_value(a), chain // 1000000) AS u, coalesce(any_value(b), chain // 1000000) AS v, CAST(count(*) + 1 AS INTEGER) AS points, round(sum(length), 3) AS length, max(frequency) AS frequency
+FROM cc JOIN edge USING (edge) LEFT JOIN ends USING (chain) GROUP BY chain""")
 def merge_chains(spark, sf_dir):
     return graph.merge_chains(streets(spark, sf_dir, 5)[1]).select("edge", "u", "v", F.size("coords").alias("points"), F.round("length", 3).alias("length"), "frequency")
 
@@ -607,9 +612,25 @@ def crossings(spark, sf_dir):
     return spatial.crossings(streets(spark, sf_dir)[1]).select("edge_a", "edge_b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+def pieces(edges: DataFrame) -> DataFrame:
+    """Where edges begin and end; the numbers of new nodes and edges are free."""
+    a, b = F.element_at("coords", 1), F.element_at("coords", -1)
+    place = [F.round(p[c], 5).alias(n) for p, c, n in ((a, "x", "x1"), (a, "y", "y1"), (b, "x", "x2"), (b, "y", "y2"))]
+    return edges.select(*place, F.round("length", 5).alias("length"), "frequency")
+
+
+CUT = """cp AS (SELECT edge, 0e0 AS t FROM edge UNION ALL SELECT edge, 1e0 FROM edge UNION ALL SELECT edge, t FROM cut),
+cs AS (SELECT edge, t AS t0, lead(t) OVER (PARTITION BY edge ORDER BY t) AS t1 FROM cp),
+cut_pieces AS (SELECT round(x1 + t0 * (x2 - x1), 5) AS x1, round(y1 + t0 * (y2 - y1), 5) AS y1, round(x1 + t1 * (x2 - x1), 5) AS x2, round(y1 + t1 * (y2 - y1), 5) AS y2, round(length * (t1 - t0), 5) AS length, frequency FROM cs JOIN edge USING (edge) WHERE t1 IS NOT NULL)"""
+
+
+@query(f"""WITH {FIXES}{FLAT}{STREETS}, p AS (SELECT a.edge AS edge_a, b.edge AS edge_b, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS sx, b.y2 - b.y1 AS sy, b.x1 - a.x1 AS qx, b.y1 - a.y1 AS qy
+  FROM edge a JOIN edge b ON a.edge < b.edge AND a.u <> b.u AND a.u <> b.v AND a.v <> b.u AND a.v <> b.v AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)),
+c AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS w FROM p WHERE abs(rx * sy - ry * sx) >= 1e-12),
+ok AS (SELECT * FROM c WHERE t > 1e-6 AND t < 1 - 1e-6 AND w > 1e-6 AND w < 1 - 1e-6),
+cut AS (SELECT edge_a AS edge, t FROM ok UNION ALL SELECT edge_b, w FROM ok), {CUT} SELECT * FROM cut_pieces""")
 def break_at_crossings(spark, sf_dir):
-    return graph.break_at_crossings(*streets(spark, sf_dir))[1].select("edge", "u", "v", F.round("length", 6).alias("length"), "frequency")
+    return pieces(graph.break_at_crossings(*streets(spark, sf_dir))[1])
 
 
 @query(f"""WITH {FIXES}{FLAT}{MAIN}, tp AS (SELECT node.* FROM node JOIN deg ON deg.id = node.id AND degree = 1),
@@ -620,9 +641,13 @@ def edge_snaps(spark, sf_dir):
     return graph.edge_snaps(*streets(spark, sf_dir, 5), 60.0).select("id", "edge", F.round("t", 6).alias("t"), F.round("d", 6).alias("d"))
 
 
-@query()
+@query(f"""WITH {FIXES}{FLAT}{MAIN}, tp AS (SELECT node.* FROM node JOIN deg ON deg.id = node.id AND degree = 1),
+p AS (SELECT tp.id, edge, tp.x, tp.y, x1, y1, x2, y2, greatest(0, least(1, ((tp.x - x1) * (x2 - x1) + (tp.y - y1) * (y2 - y1)) / (length * length))) AS t FROM tp JOIN edge ON u <> tp.id AND v <> tp.id),
+q AS (SELECT *, sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2)) AS d FROM p),
+best AS (SELECT * FROM q WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, edge) = 1), cut AS (SELECT edge, t FROM best), {CUT}
+SELECT * FROM cut_pieces UNION ALL SELECT round(x, 5), round(y, 5), round(x1 + t * (x2 - x1), 5), round(y1 + t * (y2 - y1), 5), round(d, 5), 0 FROM best""")
 def snap_to_edges(spark, sf_dir):
-    return graph.snap_to_edges(*streets(spark, sf_dir, 5), 60.0)[1].select("edge", "u", "v", F.round("length", 6).alias("length"), "frequency")
+    return pieces(graph.snap_to_edges(*streets(spark, sf_dir, 5), 60.0)[1])
 
 
 @query()
@@ -630,9 +655,32 @@ def stitches(spark, sf_dir):
     return graph.stitches(*streets(spark, sf_dir, 5), 150.0)
 
 
-@query(f"WITH {FIXES}{TRACKS}, n AS (SELECT track_id, count(*) AS n FROM tracks GROUP BY 1) SELECT track_id, CAST(CASE WHEN n < 3 THEN n ELSE 4 * n END AS BIGINT) AS points FROM n")
+def _chaikin_sql(source: str, name: str) -> str:
+    """One round of corner cutting: both ends stay, each segment gives points at a quarter and three quarters; lines of two points stay."""
+    return f"""{name}_n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY track_id) AS n FROM {source} WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+{name} AS (SELECT track_id, seq, x, y FROM {name}_n WHERE n < 3 UNION ALL SELECT track_id, 0, x, y FROM {name}_n WHERE n >= 3 AND seq = 0
+  UNION ALL SELECT track_id, 2 * seq + 1, 0.75e0 * x + 0.25e0 * nx, 0.75e0 * y + 0.25e0 * ny FROM {name}_n WHERE n >= 3 AND nx IS NOT NULL
+  UNION ALL SELECT track_id, 2 * seq + 2, 0.25e0 * x + 0.75e0 * nx, 0.25e0 * y + 0.75e0 * ny FROM {name}_n WHERE n >= 3 AND nx IS NOT NULL
+  UNION ALL SELECT track_id, 2 * seq + 1, x, y FROM {name}_n WHERE n >= 3 AND nx IS NULL)"""
+
+
+@query(f"WITH {FIXES}{TRACKS}, {_chaikin_sql('tracks', 'k1')}, {_chaikin_sql('k1', 'k2')} SELECT track_id, CAST(seq AS BIGINT) AS seq, round(x, 6) AS x, round(y, 6) AS y FROM k2")
 def chaikin(spark, sf_dir):
-    return clean.pack(flat_tracks(spark, sf_dir)).select("track_id", F.size(polyline.chaikin(F.col("coords"), 2)).cast("long").alias("points"))
+    smooth = clean.pack(flat_tracks(spark, sf_dir)).select("track_id", polyline.chaikin(F.col("coords"), 2).alias("coords"))
+    return clean.unpack(smooth).select("track_id", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH {FIXES}{TRACKS}, m AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS m FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+a AS (SELECT *, sum(m) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS at1, sum(m) OVER (PARTITION BY track_id) AS total FROM m),
+t AS (SELECT track_id, any_value(total) AS total, CAST(greatest(1, round_even(any_value(total) / 20e0, 0)) AS BIGINT) AS n FROM a GROUP BY 1),
+k AS (SELECT track_id, total, n, unnest(range(1, n)) AS k FROM t WHERE total > 0)
+SELECT track_id, CAST(0 AS BIGINT) AS seq, round(x, 4) AS x, round(y, 4) AS y FROM tracks WHERE seq = 0
+UNION ALL SELECT track_id, n, round(x, 4), round(y, 4) FROM tracks JOIN t USING (track_id) WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY seq DESC) = 1
+UNION ALL SELECT * FROM (SELECT k.track_id, k, round(x0 + (k * k.total / n - at1 + m) / m * (x - x0), 4), round(y0 + (k * k.total / n - at1 + m) / m * (y - y0), 4) FROM k JOIN a ON a.track_id = k.track_id AND m > 0 AND at1 >= k * k.total / n AND at1 - m <= k * k.total / n
+  QUALIFY row_number() OVER (PARTITION BY k.track_id, k ORDER BY seq) = 1)""")
+def resample_points(spark, sf_dir):
+    found = clean.resample(flat_tracks(spark, sf_dir), 20.0)
+    return found.select("track_id", "seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query()
@@ -696,7 +744,7 @@ def stream_deduplicate(spark, sf_dir):
     return fix_rows(streamed(spark, sf_dir, streaming.deduplicated))
 
 
-@query()
+@query(SQL["thin_greedy"])
 def stream_thin(spark, sf_dir):
     return fix_rows(streamed(spark, sf_dir, lambda s: streaming.thinned(streaming.deduplicated(s))))
 
