@@ -39,6 +39,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about ``op5_license_scan``: words and base phrases."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op6_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
+    "license_base_phrases": license_base_phrases,
     "op6_token_id_codes": op6_token_id_codes,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -76,7 +82,19 @@ QUERIES = {
 #: Words of DuckDB text, A-Z as a-z.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+ALNUM = WORDS.replace(r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 ORACLE_SQL = {
+    "op2_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM d, unnest(range(0, n - 399)) AS t(i)),
+        m AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+        f AS (SELECT *, sum(CASE WHEN i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m)),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM f GROUP BY doc_id, run),
+        e AS (SELECT doc_id, a, b, true AS run FROM r UNION ALL SELECT doc_id, n, n, false FROM d),
+        p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM e),
+        k AS (SELECT doc_id, sum(b - a) AS removed, count(*) FILTER (run) AS spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b) AS left_hex FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(left_hex)) AS kept_sha256 FROM d JOIN k USING (doc_id)""",
     "op1_lm_scoring": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS x(i)),
@@ -96,6 +114,12 @@ ORACLE_SQL = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "license_base_phrases": f"""
+        WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+        p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+        f AS (SELECT doc_id, i, label FROM d, unnest(range(1, len(w) + 1)) AS t(i), p WHERE w[i : i + len(phrase) - 1] = phrase)
+        SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(i) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op10_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),

@@ -1,6 +1,10 @@
 """Each stage against a plain version of what it decides, on the smallest tables."""
 
+import collections
+import re
+
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -8,7 +12,6 @@ from roadweave.llm import queries
 from roadweave.llm.ngram_join import ngram_join
 
 from .conftest import alnum_words
-from .test_text_operators import repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,12 +56,49 @@ def test_one_of_repeated_rows_stays(spark):
 
 
 def test_repeats_are_cut(stages):
+    """Runs of repeated strings that hold enough words, against a plain search."""
     before, after = stages[2]
     rows = before.orderBy("doc_id").collect()
     left = {r["doc_id"]: r for r in after.collect()}
-    for r, (size, gone, _, _) in zip(rows, repeats([r["text"] for r in rows], 400)):
-        assert size - gone - 6 <= len(left[r["doc_id"]]["text"].encode()) <= size - gone
-        assert left[r["doc_id"]]["n_chars"] == len(left[r["doc_id"]]["text"])
+    length = corpus_pipeline.PASSAGE_BYTES
+    raw = [(r["text"] or "").encode() for r in rows]
+    count = collections.Counter(t[k : k + length] for t in raw for k in range(len(t) - length + 1))
+    for r, t in zip(rows, raw):
+        gone = np.zeros(len(t) + 2, bool)
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k + 1 : k + length + 1] = True
+        kept, at = [], 0
+        for a, b in np.flatnonzero(np.diff(gone.astype(int))).reshape(-1, 2).tolist():
+            while a and t[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(t) and t[b] & 0xC0 == 0x80:
+                b += 1
+            whole = re.findall(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]+(?![^\x20\x09-\x0D])", t[a:b])
+            inner = len(whole) - (a > 0 and t[a - 1 : a].strip() != b"" and t[a : a + 1].strip() != b"") - (b < len(t) and t[b : b + 1].strip() != b"" and t[b - 1 : b].strip() != b"")
+            if inner >= corpus_pipeline.PASSAGE_WORDS:
+                kept.append(t[at:a])
+                at = b
+        want = b"".join([*kept, t[at:]]).decode()
+        assert left[r["doc_id"]]["text"] == want and left[r["doc_id"]]["n_chars"] == len(want)
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """A passage of 51 or more words in two documents goes from both; one of fewer stays, as do characters that authors wrote as U+FFFD."""
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("".join(rng.choice(list("abdegiklmnoprstuvé"), rng.integers(3, 9))) for _ in range(n))
+    rows, want = [], []
+    for k, n in enumerate([51, 52, 55, 60, 75, 100, 20, 30, 45]):
+        passage = text(n)
+        for _ in range(2):
+            head, tail = "\ufffd " + text(30), text(20)
+            rows.append((len(rows), f"{head} {passage} {tail}", "en", 0))
+            want.append((head, passage if n <= 50 else "", tail))
+    after = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long"), SF)
+    for r in after.collect():
+        head, passage, tail = want[r["doc_id"]]
+        assert r["text"].split() == [*head.split(), *passage.split(), *tail.split()] or (not passage and len(r["text"]) <= len(head) + len(tail) + 2)
+        assert r["text"].startswith(head[:-4]) and r["text"].endswith(tail[4:])
 
 
 def test_leaks_go(spark, stages):
