@@ -720,13 +720,13 @@ def road_rows(edges: DataFrame) -> DataFrame:
 @query()
 def infer_roads_slide(spark, sf_dir):
     p = Params(cell_tau=10.0, sigma1=2.0, sigma2=1.0, resample_k=20.0, slide_min_loops=10, slide_max_loops=40, eps_mode="percentile", eps_percentile=50.0, spur_min_m=30.0, smooth_iters=1)
-    return road_rows(build_roads(fixes(spark, sf_dir).where("lat < 45.2 or lat > 90"), p).edges)
+    return road_rows(build_roads(fixes(spark, sf_dir), p).edges)
 
 
 @query()
 def infer_roads_kde(spark, sf_dir):
     p = Params(method="kde", cell_tau=10.0, kde_radius=15.0, gap_buffer_m=10.0, eps_mode="percentile", eps_percentile=60.0, fill_holes_m=30.0, loop_min_m=40.0, edge_f_min=1, edge_l_min=50.0, smooth_iters=2)
-    return road_rows(build_roads(fixes(spark, sf_dir).where("lat < 45.2 or lat > 90"), p).edges)
+    return road_rows(build_roads(fixes(spark, sf_dir), p).edges)
 
 
 def streamed(spark, sf_dir, make, mode="append") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 import struct
+import warnings
 import zipfile
 from functools import reduce
 from io import BytesIO
@@ -109,7 +110,7 @@ def read_csv(spark: SparkSession, paths: list[str], given: dict[str, str] | None
 
 
 def load(spark: SparkSession, source, given: dict[str, str] | None = None, encoding: str = "utf-8") -> DataFrame:
-    """Fixes from a frame, a folder or a list of files, by their endings; nothing gives no rows."""
+    """Fixes from a frame, a folder or a list of files, by their endings; nothing gives no rows. Old workbooks (.xls) of a folder are left out with a warning."""
     if source is None:
         return empty(spark)
     if isinstance(source, DataFrame):
@@ -117,6 +118,10 @@ def load(spark: SparkSession, source, given: dict[str, str] | None = None, encod
     paths = [source] if isinstance(source, str) else list(source)
     if isinstance(source, str) and "." not in source.rsplit("/", 1)[-1]:
         paths = [r["path"] for r in list_files(spark, source).collect()]  # names, not rows
+        old = [p for p in paths if p.lower().endswith(".xls")]
+        if old:  # a binary format of its own, which no library here reads
+            warnings.warn(f"left out {len(old)} old workbooks, save them as .xlsx: {', '.join(sorted(old)[:5])}", stacklevel=2)
+            paths = [p for p in paths if p not in set(old)]
     readers = {"csv": lambda p: read_csv(spark, p, given, encoding), "txt": lambda p: read_csv(spark, p, given, encoding), "xlsx": lambda p: read_xlsx(spark, p, given), "gpx": lambda p: read_gpx(spark, p), "kml": lambda p: read_kml(spark, p), "geojson": lambda p: read_geojson(spark, p), "json": lambda p: read_geojson(spark, p), "shp": lambda p: read_shp(spark, p)}
     by_ending: dict[str, list[str]] = {}
     for p in paths:
@@ -258,6 +263,13 @@ def read_kml(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_shp(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Fixes of shapefiles in degrees; a projection file beside one that says otherwise is an error."""
+    sc = spark.sparkContext
+    beside = [sc._jvm.org.apache.hadoop.fs.Path(p[: -len(".shp")] + ".prj") for p in paths]
+    beside = [p.toString() for p in beside if p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)]
+    for row in spark.read.text(beside, wholetext=True).select("value", "_metadata.file_path").collect() if beside else ():  # a line for each file
+        if not row["value"].lstrip().upper().startswith(("GEOGCS", "GEOGCRS")) or "WGS" not in row["value"].upper():
+            raise ValueError(f"{row['file_path']}: only degrees of WGS 84 are read")
     return _vertices(spark, paths, shp_points)
 
 
@@ -270,7 +282,9 @@ def geojson_geometries(spark: SparkSession, paths: list[str]) -> DataFrame:
     feature = "struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>"
     whole = F.from_json("value", f"struct<features: array<{feature}>>")["features"]
     lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, feature))
-    rows = raw.select("_file", F.posexplode(F.coalesce(whole, lines)).alias("_k", "f")).where("f.geometry is not null")
+    crs = F.get_json_object("value", "$.crs.properties.name")
+    degrees = crs.isNull() | crs.rlike("(4326|CRS84)$")
+    rows = raw.select("_file", F.posexplode(F.when(degrees, F.coalesce(whole, lines)).otherwise(F.raise_error(F.concat("_file", F.lit(": only degrees of WGS 84 are read, not "), crs)))).alias("_k", "f")).where("f.geometry is not null")
     named = F.map_from_entries(F.transform(F.map_entries("f.properties"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
     pick = lambda names: F.coalesce(*(F.try_element_at(named, F.lit(n)) for n in names))
     return rows.select("_file", "_k", F.coalesce(pick(ALIASES["device"]), F.concat(F.lit("f"), F.col("_k").cast("string"))).alias("device"), pick(ALIASES["time"]).alias("time"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))

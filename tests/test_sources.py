@@ -61,6 +61,32 @@ def test_tracks_of_other_formats(spark, tmp_path):
     assert [(r["device"], r["lon"]) for r in tables.load(spark, [str(shp)]).orderBy("lon").collect()] == [("f0", 134.0), ("f0", 135.0)]
 
 
+def test_old_workbooks_and_other_projections(spark, tmp_path):
+    folder = tmp_path / "mixed" / "2024-01"
+    folder.mkdir(parents=True)
+    write(folder / "a.csv", "device;time;lat;lon\n1;2025-01-02 03:04:05;45.5;134.25\n")
+    write(folder / "b.xls", "x")
+    with pytest.warns(UserWarning, match="xlsx"):
+        assert tables.load(spark, str(tmp_path / "mixed")).count() == 1
+    point = {"type": "Feature", "geometry": {"type": "Point", "coordinates": [134, 45]}, "properties": {}}
+    for name, fine in (("urn:ogc:def:crs:OGC:1.3:CRS84", True), ("urn:ogc:def:crs:EPSG::4326", True), ("urn:ogc:def:crs:EPSG::3857", False)):
+        geo = write(tmp_path / f"{name[-4:]}.geojson", json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": name}}, "features": [point]}))
+        if fine:
+            assert tables.load(spark, [geo]).count() == 1
+        else:
+            with pytest.raises(Exception, match="only degrees"):
+                tables.load(spark, [geo]).collect()
+    shp = tmp_path / "p.shp"
+    shp.write_bytes(b"\0" * 100 + struct.pack(">2i", 1, 10) + struct.pack("<i2d", 1, 134.0, 45.0))
+    for text, fine in (('GEOGCS["GCS_WGS_1984"]', True), ('PROJCS["WGS_1984_UTM_Zone_53N"]', False)):
+        write(tmp_path / "p.prj", text)
+        if fine:
+            assert tables.load(spark, [str(shp)]).count() == 1
+        else:
+            with pytest.raises(ValueError, match="only degrees"):
+                tables.load(spark, [str(shp)])
+
+
 def test_made_up_times(spark):
     rows = spark.createDataFrame([(0, "a", "2025-01-01 00:00:00", 1.0, 1.0), (1, "a", "what", 1.0, 1.0), (2, "b", None, 1.0, 1.0), (3, "a", None, 1.0, 99.0), (4, "a", None, 1.0, 999.0)], "k long, device string, time string, lat double, lon double")
     got = tables.vector_points(rows, "k", 2.5).collect()
