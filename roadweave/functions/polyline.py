@@ -51,21 +51,31 @@ def equidistant(coords: Column, tolerance: float = 1e-6) -> Column:
 
 
 def simplify_points(xy: np.ndarray, epsilon: float) -> np.ndarray:
-    """Which points Douglas-Peucker keeps: those farther than epsilon from the chord (from its start if it has no length)."""
+    """Which points Douglas-Peucker keeps: those farther than epsilon from the chord (from its start if it has no length).
+
+    Level by level: the inner points of all chords of a level are measured at once, and each chord is parted at its first farthest point.
+    """
     keep = np.zeros(len(xy), bool)
     keep[[0, -1]] = True
-    spans = [(0, len(xy) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        chord, rest = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        size = np.hypot(*chord)
-        far = np.hypot(*rest.T) if size < 1e-12 else np.abs(chord[0] * rest[:, 1] - chord[1] * rest[:, 0]) / size
-        k = int(far.argmax())
-        if far[k] > epsilon:
-            keep[a + 1 + k] = True
-            spans += [(a, a + 1 + k), (a + 1 + k, b)]
+    lo, hi = np.array([0]), np.array([len(xy) - 1])
+    while len(lo := lo[(wide := hi - lo >= 2)]):
+        hi = hi[wide]
+        inside = hi - lo - 1
+        begin = np.cumsum(inside) - inside
+        chord_of = np.repeat(np.arange(len(lo)), inside)
+        point_of = np.arange(len(chord_of)) + (lo + 1 - begin)[chord_of]
+        chord = xy[hi] - xy[lo]
+        size = np.hypot(*chord.T)
+        turn, off = chord[chord_of], xy[point_of] - xy[lo[chord_of]]
+        flat = (size < 1e-12)[chord_of]
+        away = np.where(flat, np.hypot(*off.T), np.abs(turn[:, 0] * off[:, 1] - turn[:, 1] * off[:, 0]) / np.where(size < 1e-12, 1.0, size)[chord_of])
+        away = np.where(np.isnan(away), 0.0, away)
+        most = np.maximum.reduceat(away, begin)
+        at_most = np.flatnonzero(away == most[chord_of])
+        split = point_of[at_most[np.searchsorted(chord_of[at_most], np.arange(len(lo)))]]
+        far = most > epsilon
+        keep[split[far]] = True
+        lo, hi = np.concatenate([lo[far], split[far]]), np.concatenate([split[far], hi[far]])
     return keep
 
 

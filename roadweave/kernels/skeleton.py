@@ -32,39 +32,55 @@ def neighbour_count(mask: np.ndarray) -> np.ndarray:
     return around(mask.astype(bool)).sum(axis=0)
 
 
+def _followed(node: np.ndarray, p: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each link: the first link of its path, how many links lie between, and the least pixel that was passed. Each round doubles the reach."""
+    start, steps, least = np.where(node[p], np.arange(len(p)), previous), (~node[p]).astype(np.int64), p.copy()
+    for _ in range(len(p).bit_length()):
+        least = np.minimum(least, least[start])
+        steps, start = steps + steps[start], start[start]
+    return start, steps, least
+
+
 def pixel_graph(skeleton: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[tuple[int, int]]]]]:
     """Nodes (row, col) where lines end or meet, and edges (node, node, pixels from one to the other). A closed line has one node, its least pixel.
 
-    Pixels without neighbours are left out; so are paths that end in no node.
+    Pixels without neighbours are left out. Links between neighbouring pixels are contracted by pointer doubling, all paths at once; of the two
+    directions of a path the one that starts with the lesser link is the edge.
     """
-    pixels = set(zip(*(x.tolist() for x in np.nonzero(skeleton))))
-    near = {p: [q for r, c in RING if (q := (p[0] + r, p[1] + c)) in pixels] for p in pixels}
-    nodes = sorted(p for p, own in near.items() if own and len(own) != 2)
-    number = {p: k for k, p in enumerate(nodes)}
-    edges, seen, covered = [], set(), set(nodes)
-    for node in nodes:
-        for step in sorted(near[node]):
-            if (node, step) in seen:
-                continue
-            path = [node, step]
-            while path[-1] not in number:
-                ahead = [q for q in near[path[-1]] if q != path[-2]]
-                if not ahead:
-                    break
-                path.append(ahead[0])
-            covered.update(path)
-            if path[-1] in number:
-                seen.update(((path[0], path[1]), (path[-1], path[-2])))
-                edges.append((number[node], number[path[-1]], path))
-    left = {p for p, own in near.items() if len(own) == 2 and p not in covered}
-    while left:
-        start = min(left)
-        path = [start, min(near[start])]
-        left.discard(start)
-        while path[-1] != start and path[-1] in left:
-            left.discard(path[-1])
-            path.append(next(q for q in near[path[-1]] if q != path[-2]))
-        number[start] = len(nodes)
-        nodes.append(start)
-        edges.append((number[start], number[start], path))
-    return nodes, edges
+    rows, cols = np.nonzero(skeleton)
+    n = len(rows)
+    name = np.full(tuple(x + 2 for x in np.shape(skeleton)), -1)
+    name[rows + 1, cols + 1] = np.arange(n)
+    ring = np.array([name[rows + 1 + r, cols + 1 + c] for r, c in RING]).reshape(8, n)
+    k, p = np.nonzero(ring >= 0)
+    q = ring[k, p]
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    if not len(p):
+        return [], []
+    back = np.lexsort((p, q))  # the same link the other way round
+    degree, first = np.bincount(p, minlength=n), np.searchsorted(p, np.arange(n))
+    node = (degree > 0) & (degree != 2)
+    beside = np.where(node[p], 0, 2 * first[p] + 1 - np.arange(len(p)))  # the other link out of a pixel that has two
+    start, steps, least = _followed(node, p, back[beside])
+    closed = ~node[p[start]]
+    nodes = np.concatenate([np.flatnonzero(node), np.unique(least[closed])])
+    if closed.any():
+        node[nodes] = True
+        start, steps, _ = _followed(node, p, back[beside])
+    number = np.full(n, -1)
+    number[nodes] = np.arange(len(nodes))
+    last = np.flatnonzero(node[q])
+    last = last[start[last] < back[last]]
+    last = last[np.lexsort((q[start[last]], number[p[start[last]]]))]
+    edge = np.full(len(p), -1)
+    edge[start[last]] = np.arange(len(last))
+    own = np.flatnonzero(edge[start] >= 0)
+    own = own[np.lexsort((steps[own], edge[start[own]]))]
+    place = list(zip(rows.tolist(), cols.tolist()))
+    along, ends = q[own].tolist(), np.cumsum(steps[last] + 1).tolist()
+    edges = []
+    for k, (a, b, u) in enumerate(zip([0, *ends], ends, p[start[last]].tolist())):
+        path = [place[u], *(place[x] for x in along[a:b])]
+        edges.append((int(number[u]), int(number[q[last[k]]]), path))
+    return [place[x] for x in nodes.tolist()], edges

@@ -62,8 +62,8 @@ def post_process(nodes: DataFrame, edges: DataFrame, p: Params) -> tuple[DataFra
     return nodes, graph.annotate(graph.smooth_edges(edges, p.smooth_iters))
 
 
-def extract_graph(tracks: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges by tile from tracks (tile, track_id, seq, x, y), and each tile's threshold."""
+def extract_graph(tracks: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Nodes and edges by tile from tracks (tile, track_id, seq, x, y), each tile's threshold, and how many rare and short edges were left out."""
     if p.method == "kde":
         meta = density.grid(tracks, p.cell_tau)
         surface, coverage = density.kde(tracks, meta, p.cell_tau, p.kde_radius), tracks
@@ -83,7 +83,9 @@ def extract_graph(tracks: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, D
         mask = density.holes(mask.checkpoint(), meta, (p.fill_holes_m / p.cell_tau) ** 2)
     pixels = extract.skeletons(mask, meta).checkpoint()
     nodes, edges = extract.world_graph(pixels, coverage, meta, p.dp_tolerance)
-    return nodes, graph.filter_edges(edges.checkpoint(), p.edge_f_min, p.edge_l_min, p.protect_long_m), limit
+    edges = edges.checkpoint()
+    kept = graph.filter_edges(edges, p.edge_f_min, p.edge_l_min, p.protect_long_m)
+    return nodes, kept, limit, edges.count() - kept.count()
 
 
 def build_roads(points: DataFrame | None, params: Params = Params(), progress: Callable[[float, str], None] | None = None, cancelled: Callable[[], bool] | None = None, spark=None) -> Roads:
@@ -109,11 +111,15 @@ def build_roads(points: DataFrame | None, params: Params = Params(), progress: C
             inside = clean.clip(points, [list(r) for r in p.aoi_polygon]) if p.aoi_polygon else points
             fixes, counts = clean.clean(inside, p.v_max_kmh, p.a_max, p.reb_enabled)
             out.stats |= counts.first().asDict()
+            out.stats["aoi_removed"] = points.count() - out.stats["input"] if p.aoi_polygon else 0
             thin = clean.thin_greedy if p.thin_mode == "greedy" else clean.thin_consecutive
             fixes = thin(fixes, p.min_point_dist)
             if p.cache_dir:
                 sinks.save_points(fixes, p.cache_dir)
                 fixes = tables.load_points(spark, p.cache_dir)
+            else:
+                fixes = fixes.checkpoint()
+            out.stats["near_dup_removed"] = out.stats["output"] - fixes.count()
         out.points = fixes
         if p.stop_after == "points":
             return out
@@ -143,6 +149,7 @@ def build_roads(points: DataFrame | None, params: Params = Params(), progress: C
         return out
     stage(0.4, "tiles")
     n, x0, x1, y0, y1 = tracks.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    out.stats["tracks"] = tracks.select("track_id").distinct().count()
     if not n:
         raise ValueError("no track is left")
     tiles = spatial.choose_tiling(n, x0, y0, x1, y1, p.cell_tau, p.split_mode, p.tile_grid, p.max_points_per_tile, p.overlap_cells)
@@ -154,7 +161,7 @@ def build_roads(points: DataFrame | None, params: Params = Params(), progress: C
         runs = spatial.assign_tiles(tracks, x0, y0, size, nx, ny, p.overlap_cells * p.cell_tau, 1 if p.method == "kde" else 2)
         tiled = runs.withColumn("track_id", F.concat_ws("/", "track_id", F.col("run").cast("string"))).drop("run")
     stage(0.5, "extract")
-    nodes, edges, limit = extract_graph(tiled, p)
+    nodes, edges, limit, out.stats["edges_removed"] = extract_graph(tiled, p)
     merged = graph.merge_tiles(nodes, edges, p.node_merge_dist or 1.5 * p.cell_tau)
     if len(tiles) > 1:
         merged = graph.merge_close_nodes(merged[0].checkpoint(), merged[1].checkpoint(), 3 * p.cell_tau * p.sigma2)

@@ -217,6 +217,39 @@ def test_thinning_of_masks():
     assert skeleton.pixel_graph(np.eye(1, dtype=bool)) == ([], [])
 
 
+def test_each_link_of_pixels_is_in_one_edge():
+    rng = np.random.default_rng(5)
+    closed = np.zeros((9, 11), bool)
+    closed[1, 2:9] = closed[7, 2:9] = closed[2:7, 1] = closed[2:7, 9] = True
+    for k in range(60):
+        mask = rng.random((9, 11)) < (0.15, 0.3, 0.5)[k % 3] if k else closed
+        nodes, edges = skeleton.pixel_graph(np.pad(mask | closed if k % 2 else mask, ((0, 0), (0, 3))))
+        pixels = set(zip(*(x.tolist() for x in np.nonzero(mask | closed if k % 2 else mask))))
+        links = {frozenset((p, q)) for p in pixels for r, c in skeleton.RING if (q := (p[0] + r, p[1] + c)) in pixels}
+        found = [frozenset(link) for _, _, path in edges for link in zip(path, path[1:])]
+        assert len(found) == len(set(found)) and set(found) == links
+        many = {p: sum(p in link for link in links) for p in pixels}
+        for u, v, path in edges:
+            assert path[0] == nodes[u] and path[-1] == nodes[v] and all(many[p] == 2 for p in path[1:-1])
+            assert many[nodes[u]] != 2 or (u == v and min(path) == path[0])
+
+
+def test_lines_are_simplified_as_by_recursion():
+    def kept(xy, a, b, epsilon):
+        if b - a < 2:
+            return set()
+        (x0, y0), (x1, y1) = xy[a], xy[b]
+        size = math.hypot(x1 - x0, y1 - y0)
+        off = [abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / size if size > 1e-12 else math.hypot(x - x0, y - y0) for x, y in xy[a + 1 : b]]
+        k = a + 1 + off.index(max(off))
+        return {k} | kept(xy, a, k, epsilon) | kept(xy, k, b, epsilon) if max(off) > epsilon else set()
+
+    rng = np.random.default_rng(6)
+    for k in range(200):
+        xy = rng.integers(0, 5, (rng.integers(2, 40), 2)).astype(float)
+        assert set(np.flatnonzero(polyline.simplify_points(xy, 0.9)).tolist()) == {0, len(xy) - 1} | kept(xy.tolist(), 0, len(xy) - 1, 0.9)
+
+
 def test_tracks_slide_to_the_ridge():
     rows = np.arange(40)[:, None]
     ridge = np.repeat(np.exp(-((rows - 20) ** 2) / 50.0), 60, axis=1)

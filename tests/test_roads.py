@@ -39,6 +39,7 @@ def test_slide_finds_the_crossing(fixes):
     roads = RoadInference(**FAST).fit(fixes, progress=lambda share, what: seen.append(share))
     assert roads.stats["edges"] >= 4 and most_ends(roads.edges) >= 3
     assert roads.stats["input"] == roads.stats["output"] == 16 * 41 and seen[-1] == 1.0
+    assert roads.stats["aoi_removed"] == roads.stats["near_dup_removed"] == 0 and roads.stats["tracks"] == 16 and roads.stats["edges_removed"] >= 0
     assert roads.edges.agg({"n_devices": "max"}).first()[0] >= 4
     nodes, edges = with_lonlat(roads)
     n = nodes.first()
@@ -63,6 +64,14 @@ def test_stages_resume(fixes, tmp_path):
     assert build_roads(None, Params(start_stage="tracks", **p), spark=fixes.sparkSession).stats["edges"] >= 4
 
 
+def test_counts_of_what_went(fixes):
+    half = [[133.9, 44.9], [134.0, 44.9], [134.0, 45.1], [133.9, 45.1]]
+    roads = build_roads(fixes, Params(stop_after="points", aoi_polygon=[half], min_point_dist=12.0))
+    assert 0 < roads.stats["aoi_removed"] < fixes.count()
+    assert roads.stats["aoi_removed"] + roads.stats["input"] == fixes.count()
+    assert roads.stats["near_dup_removed"] == roads.stats["output"] - roads.points.count() > 0
+
+
 def test_cancel_and_nothing_left(fixes):
     with pytest.raises(Cancelled):
         build_roads(fixes, Params(), cancelled=lambda: True)
