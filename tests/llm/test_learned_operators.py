@@ -7,9 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from roadweave.llm import toxicity as toxic_words
 from roadweave.llm.decontam import B, K1, SPAN, THRESHOLD, decontaminate, parts
 from roadweave.llm.langid import declaration, language, visible
 from roadweave.llm.topk import exact_topk
@@ -75,6 +77,17 @@ def test_all_that_would_be_restored_is_flagged():
     assert restore("д у р а к", model) == "дурак" and restore("идиоооот!", model) == "идиот!"
 
 
+def test_readings_do_not_depend_on_slices(monkeypatch):
+    model = CharacterModel(CharacterModel.count(["hello", "stupid", "idiot"]))
+    rng = random.Random(1)
+    texts = [None, "", *("".join(rng.choice("ab1 .é$") for _ in range(rng.randint(0, 400))) for _ in range(200)), "s t u p i d", "heyyy"]
+    whole = [restore((x or "").lower(), model) for x in texts]
+    for size in (1, 50, 1000, 1 << 20):
+        monkeypatch.setattr(toxic_words, "SLICE", size)
+        assert list(toxic_words.readings(pa.array(texts, pa.string()), model)) == whole
+    assert list(toxic_words.readings(pa.array([], pa.string()), model)) == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     found = toxicity(docs, labels)
