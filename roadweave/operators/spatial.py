@@ -1,11 +1,15 @@
 """Joins by distance: points are dealt to square buckets as wide as the radius, so each meets only the nine around it."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.geo import segments_cross
 
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+#: Share of a tile by which bounds may pass its far side: a third of a width, three times, can be a rounding short of the width.
+HAIR = 1e-9
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
@@ -69,7 +73,7 @@ def crossings(edges: DataFrame, most_cells: int = 10_000) -> DataFrame:
 
 def plan_tiles(x0: float, y0: float, x1: float, y1: float, size: float, overlap: float) -> list[dict]:
     """Square tiles over the bounds: tile (row by row), i, j, core cx0..cy1 and, wider by the overlap, rx0..ry1."""
-    nx, ny = max(1, -int(-(x1 - x0) // size)), max(1, -int(-(y1 - y0) // size))
+    nx, ny = max(1, math.ceil((x1 - x0) / size - HAIR)), max(1, math.ceil((y1 - y0) / size - HAIR))
     out = []
     for j in range(ny):
         for i in range(nx):
@@ -91,7 +95,7 @@ def assign_tiles(tracks: DataFrame, x0: float, y0: float, size: float, nx: int,
 
     Tiles follow from the coordinates, so nothing is joined; a track that leaves a tile and returns has two runs there.
     """
-    lo = lambda v, o, n: F.greatest(F.lit(0), F.ceil((v - overlap - o) / size - 1).cast("int"))
+    lo = lambda v, o, n: F.greatest(F.lit(0), F.ceil((v - overlap - o) / size - 1 - HAIR).cast("int"))
     hi = lambda v, o, n: F.least(F.lit(n - 1), F.floor((v + overlap - o) / size).cast("int"))
     i = F.when(lo(F.col("x"), x0, nx) <= hi(F.col("x"), x0, nx), F.sequence(lo(F.col("x"), x0, nx), hi(F.col("x"), x0, nx)))
     j = F.when(lo(F.col("y"), y0, ny) <= hi(F.col("y"), y0, ny), F.sequence(lo(F.col("y"), y0, ny), hi(F.col("y"), y0, ny)))

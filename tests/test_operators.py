@@ -368,6 +368,20 @@ def test_tiles(spark):
     assert {(r["tile"], r["run"]): r["count"] for r in runs} == {(0, 0): 2, (0, 1): 2, (1, 0): 4}
 
 
+def test_tiles_reach_the_far_side(spark):
+    # three thirds of this width are a rounding short of it
+    x0, x1 = 0.01, 999.99
+    assert -(x1 - x0) // ((x1 - x0) / 3) == -4
+    plan = spatial.choose_tiling(0, x0, 0.05, x1, 999.9, 5.0, "forced", (3, 2), overlap_cells=0)
+    assert [(t["tile"], t["i"], t["j"]) for t in plan] == [(3 * j + i, i, j) for j in range(3) for i in range(3)]
+    rng = np.random.default_rng(3)
+    for low, high, k in zip(rng.integers(0, 99, 500) / 100, rng.integers(100, 99_999, 500) / 100, rng.integers(2, 40, 500)):
+        assert len(spatial.choose_tiling(0, low, 0.0, high, 0.0, 0.001, "forced", (int(k), 1))) == k
+    size = float(np.nextafter((x1 - x0) / 3, 0))
+    own = tracks(spark, {"t": [(x1 - 1, 5), (x1, 5)]})
+    assert spatial.assign_tiles(own, x0, 0.0, size, 3, 1, 0.0).groupBy("tile").count().collect() == [(2, 2)]
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(9)
     a, b = rng.random((200, 2)) * 100, rng.random((60, 2)) * 100
