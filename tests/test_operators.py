@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import geo, polyline
 from roadweave.kernels import skeleton, slide
-from roadweave.operators import clean, density, graph, spatial
+from roadweave.operators import clean, density, extract, graph, spatial
 from roadweave.operators.components import connected_components
 
 START = dt.datetime(2025, 1, 1)
@@ -382,6 +382,26 @@ def test_tiles_reach_the_far_side(spark):
     assert spatial.assign_tiles(own, x0, 0.0, size, 3, 1, 0.0).groupBy("tile").count().collect() == [(2, 2)]
 
 
+def test_dense_tiles_hold_few_copies(spark):
+    # 58 million points in 1 km by 1 km: 13 by 13 tiles of 77 m with 150 m around would hold each point 20 times
+    plan = spatial.choose_tiling(58_000_000, 0, 0, 1000, 1000, 10.0, overlap_cells=15, least=450.0)
+    assert len(plan) == 4 and plan[0]["cx1"] == 500
+    assert len(spatial.choose_tiling(58_000_000, 0, 0, 1000, 1000, 10.0, "forced", (13, 13), least=450.0)) == 169
+    own = tracks(spark, {"t": [(50, 50), (95, 50), (150, 50)]}).checkpoint()
+    plan = spatial.assign_tiles(own, 0, 0, 100, 2, 1, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(track_id" in plan
+
+
+def test_a_tile_moves_in_parts(spark):
+    rng = np.random.default_rng(4)
+    own = {str(k): [(float(x), 50 + float(y)) for x, y in zip(range(0, 200, 10), rng.normal(0, 4, 20))] for k in range(30)}
+    tiled = tracks(spark, own).withColumn("tile", F.lit(0))
+    seen = [extract.refine(tiled, 10.0, 2.0, 1.5, rounds=(10, 40), most=most) for most in (400_000, 100)]
+    assert "part" in seen[1]._jdf.queryExecution().analyzed().toString()
+    a, b = ({(r["track_id"], r["seq"]): (r["x"], r["y"]) for r in f.collect()} for f in seen)
+    assert len(a) == 600 and a.keys() == b.keys() and max(abs(x - y) for k in a for x, y in zip(a[k], b[k])) < 1e-9
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(9)
     a, b = rng.random((200, 2)) * 100, rng.random((60, 2)) * 100
