@@ -3,7 +3,7 @@
 Writers hide words with digits and signs for letters, with letters drawn out and with letters set apart. A place that looks so becomes a lattice:
 each sign may stand for itself or for letters, a drawn-out letter for one or two, a gap for a space or nothing, each at a cost of the channel.
 Viterbi finds the reading that a character model and the channel together make likeliest. Words of the restored text, and their beginnings, are the
-features of a logistic regression. Both models are fitted on at most SAMPLE labelled documents, the least by a hash of their ids.
+features of a logistic regression. Both models are fitted on all labelled documents that are not held out.
 """
 
 import math
@@ -21,9 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from roadweave.llm import textkernel as K
 from roadweave.llm.shared import chunks, give_back, text, written
 
-#: Labelled documents that the models learn from, and features that the regression keeps; strings in the character model.
-SAMPLE, FEATURES, GRAMS = 12_000, 4_000, 200_000
-#: A feature must stand in so many toxic documents of the sample, with so large a likelihood ratio (G) against chance.
+#: Features that the regression keeps, strings in the character model; words or features that a task counts before it hands the counts on.
+FEATURES, GRAMS, HELD = 4_000, 200_000, 100_000
+#: Rows of labels that go to every task; with more, documents and labels are dealt out by id.
+FEW_LABELS = 500_000
+#: A feature must stand in so many toxic documents, with so large a likelihood ratio (G) against chance.
 SUPPORT, EVIDENCE = 3, 15.0
 PREFIXES = range(4, 10)
 #: Bytes of texts that are looked at in one go; arrays over them take about 30 times that.
@@ -71,7 +73,7 @@ class CharacterModel:
         return self.known[gram]
 
     @staticmethod
-    def count(words: list[str]) -> Counter:
+    def count(words: list[str] | dict[str, int]) -> Counter:
         out: Counter = Counter()
         for word, n in Counter(words).items():
             word = f"  {word} "
@@ -221,59 +223,95 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def fit(rows: list[tuple[int, list[int]]], size: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression over present features by gradient descent with momentum; rows: (label, features)."""
-    label = np.array([y for y, _ in rows], float)
-    row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
-    col = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for _, x in rows)])
-    weight, bias = np.zeros(size), math.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))
-    speed, push = np.zeros(size), 0.0
+def fit(rows: list[tuple[int, list[int], int]], size: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression over present features; rows: (label, features, how many documents are such).
+
+    Steps are bounded by each feature's own curvature, so they fit any number of documents, and gather speed until the slope turns against them.
+    """
+    label, times = np.array([y for y, _, _ in rows], float), np.array([n for _, _, n in rows], float)
+    # the last feature is the bias, which all rows have
+    hits = [[*x, size] for _, x, _ in rows]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in hits])
+    col = np.array([f for x in hits for f in x], np.int64)
+    held = np.append(np.full(size, ridge), 0.0)
+    curve = 0.25 * np.bincount(col, weights=(times * np.bincount(row))[row], minlength=size + 1) + held
+    toxic = (label * times).sum()
+    weight = np.append(np.zeros(size), math.log((toxic + 0.5) / (times.sum() - toxic + 0.5)))
+    ahead, speed = weight, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weight[col], minlength=len(rows)) + bias, -30, 30)))
-        off = p - label
-        speed = 0.9 * speed - 0.02 * (np.bincount(col, weights=off[row], minlength=size) + ridge * weight)
-        push = 0.9 * push - 0.5 * off.mean()
-        weight, bias = weight + speed, bias + push
-    return weight, bias
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=ahead[col], minlength=len(rows)), -30, 30)))
+        slope = np.bincount(col, weights=(times * (p - label))[row], minlength=size + 1) + held * ahead
+        following = ahead - slope / np.where(curve > 0, curve, 1.0)
+        if (slope * (following - weight)).sum() > 0:
+            speed = 1.0
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        ahead, weight, speed = following + (speed - 1) / faster * (following - weight), following, faster
+    return weight[:-1], float(weight[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], dict[str, float], float]:
-    """The character counts, weights and bias, from at most ``sample`` documents with a label 0 or 1 and crc32(doc_id) % 5 > 0.
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, float], float]:
+    """The character counts, weights and bias, from all documents with a label 0 or 1 and crc32(doc_id) % 5 > 0.
 
-    Of rows that share an id one is learned from. At most ``GRAMS`` strings of three characters or fewer are counted, the most frequent.
+    Of rows that share an id one is learned from. At most ``GRAMS`` strings of three characters or fewer are kept, the most frequent.
     """
-    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)).join(F.broadcast(chosen), "doc_id")
+    if labels.count() <= FEW_LABELS:
+        own = F.broadcast(own)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(docs)).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(own, "doc_id")
     found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = written(found.select("toxic", "text"), "sample")
+    found = written(found.select("toxic", "text"), "labelled")
 
     def letters(batches):
-        total: Counter = Counter()
+        tokens: Counter = Counter()
+
+        def counted():
+            words: Counter = Counter()
+            for token, n in tokens.items():
+                words[token.strip(EDGE)] += n
+            total = CharacterModel.count({w: n for w, n in words.items() if w.isalpha()})
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+
         for _, chunk in chunks(batches):
             for value in chunk.column("text").to_pylist():
-                words = [w.strip(EDGE) for w in (value or "").lower().split()]
-                total += CharacterModel.count([w for w in words if w.isalpha()])
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-        del total
+                tokens.update((value or "").lower().split())
+                if len(tokens) > HELD:
+                    yield counted()
+        yield counted()
         give_back()
 
     grams = found.mapInArrow(letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # a bounded table: characters of the sample, three at most
+    # a bounded table: strings of three characters at most
     counts = {r["gram"]: r["n"] for r in grams.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
     model = CharacterModel(counts)
 
     def present(batches):
+        of_token: dict[str, list[str]] = {}
+        every: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted():
+            names = sorted(every[0].keys() | every[1].keys())
+            bad = [every[1][f] for f in names]
+            n = [every[0][f] + b for f, b in zip(names, bad)]
+            for c in every:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], ["feature", "n", "bad"])
+
         for _, chunk in chunks(batches):
             for toxic, low in zip(chunk.column("toxic").to_pylist(), readings(chunk.column("text"), model)):
-                names = sorted({f for t in set(low.split()) for f in features(t)})
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic] * len(names), pa.int32())], ["feature", "toxic"])
+                tokens = set(low.split())
+                if len(of_token) > HELD:
+                    of_token.clear()
+                for t in tokens.difference(of_token):
+                    of_token[t] = features(t)
+                every[toxic].update(set().union(*map(of_token.__getitem__, tokens)))
+                if len(every[0]) + len(every[1]) > 2 * HELD:
+                    yield counted()
+        yield counted()
         give_back()
 
-    tally = found.mapInArrow(present, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    tally = found.mapInArrow(present, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     size = found.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in size}
     if not n.get(1) or not n.get(0):
@@ -293,7 +331,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             yield pa.RecordBatch.from_arrays([chunk.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "hits"])
         give_back()
 
-    rows = sorted((r["toxic"], list(r["hits"])) for r in found.mapInArrow(hit, "toxic int, hits array<int>").collect())
+    # documents of one label and the same features are one row with a count
+    alike = found.mapInArrow(hit, "toxic int, hits array<int>").groupBy("toxic", "hits").agg(F.count("*").alias("n"))
+    rows = sorted((r["toxic"], list(r["hits"]), r["n"]) for r in alike.collect())
     weight, bias = fit(rows, len(names))
     return counts, {f: round(float(w), 6) for f, w in zip(names, weight)}, round(float(bias), 6)
 
@@ -301,13 +341,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id as text is divisible by 5), score (0 to 1), predicted (score >= 0.5) of every row.
 
     Null texts score as empty ones. Only the text is scored. With no toxic label to learn from all score 0; with no clean one, 1.
     Documents that repeat an id are scored each; an id with labels of both kinds counts as toxic. A null id is never held out.
     """
-    counts, weights, bias = learn(docs, labels, sample)
+    counts, weights, bias = learn(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast((counts, weights, bias))  # bounded: FEATURES weights, 200 000 counts
 
     def run(batches):
@@ -323,9 +363,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def scored_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with ``toxicity`` of the text as one more column (replacing one of that name)."""
-    counts, weights, bias = learn(docs, labels, sample)
+    counts, weights, bias = learn(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast((counts, weights, bias))
 
     schema = T.StructType([*(f for f in docs.schema if f.name != "toxicity"), T.StructField("toxicity", T.DoubleType())])

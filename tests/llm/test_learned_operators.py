@@ -88,6 +88,40 @@ def test_readings_do_not_depend_on_slices(monkeypatch):
     assert list(toxic_words.readings(pa.array([], pa.string()), model)) == []
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    # 13 000 labelled documents; in some 40 of them alone stands the word that marks a label
+    rows = spark.range(16_250).withColumn("toxic", (F.col("id") % 400 == 7).cast("int"))
+    labels = rows.select(F.col("id").alias("doc_id"), "toxic")
+    docs = rows.select(F.col("id").alias("doc_id"), F.when(F.col("toxic") == 1, "such zubrik here").otherwise("such weather here").alias("text"))
+    read = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").agg(F.count("*"), F.sum("toxic")).first()
+    seen = []
+    fitted = toxic_words.fit
+    monkeypatch.setattr(toxic_words, "fit", lambda found, *more: seen.append(found) or fitted(found, *more))
+    models = []
+    for few in (500_000, 10):  # labels sent to all tasks, or dealt out with the documents
+        monkeypatch.setattr(toxic_words, "FEW_LABELS", few)
+        models.append(toxic_words.learn(docs, labels))
+        assert (sum(n for _, _, n in seen[-1]), sum(n for y, _, n in seen[-1] if y)) == tuple(read) and read[0] > 12_000
+        assert len(seen[-1]) == 2
+    assert models[0] == models[1] and models[0][1]["=zubrik"] > 0.5
+    assert models[0][0]["wea"] == read[0] - read[1] and models[0][0]["zub"] == read[1]
+    monkeypatch.setattr(toxic_words, "HELD", 3)
+    assert toxic_words.learn(docs, labels) == models[0]
+
+
+def test_regression_at_any_number_of_documents():
+    rng = np.random.default_rng(8)
+    kinds = [(int(y), sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist())) for y in rng.integers(0, 2, 40)]
+    for times in (1, 1000):
+        weight, bias = toxic_words.fit([(y, x, times) for y, x in kinds], 6)
+        slope, off = 0.3 * weight, 0.0
+        for y, x in kinds:
+            d = times * (1 / (1 + math.exp(-(bias + sum(weight[f] for f in x)))) - y)
+            off += d
+            slope[x] += d
+        assert max(abs(slope)) < 1e-3 * times and abs(off) < 1e-3 * times
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     found = toxicity(docs, labels)
