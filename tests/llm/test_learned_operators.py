@@ -109,6 +109,51 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     assert toxic_words.learn(docs, labels) == models[0]
 
 
+def plain_features(low):
+    words = {t.strip(toxic_words.EDGE) for t in low.split()} - {""}
+    return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in toxic_words.PREFIXES if k < len(w)}
+
+
+def test_features_are_counted_and_weighted_as_plain_ones():
+    rng = random.Random(6)
+    lows = ["", "  ", "''' x", *("".join(rng.choice("abstupid.,\n \u3000é日") for _ in range(rng.randint(0, 120))) for _ in range(300))]
+    toxic = np.array([rng.randint(0, 1) for _ in lows])
+    own = [plain_features(low) for low in lows]
+    want = {f: (sum(f in x for x in own), sum(f in x and y for x, y in zip(own, toxic.tolist()))) for f in set().union(*own)}
+    got = [(f, (n, bad)) for names, every, toxics in toxic_words.tally(lows, toxic) for f, n, bad in zip(names.to_pylist(), every.tolist(), toxics.tolist())]
+    assert len(got) == len(want) and dict(got) == want
+    weights = dict.fromkeys(rng.sample(sorted(want), 200), 1.0)
+    scorer = toxic_words.Scorer({}, weights, 0.0)
+    for low, features in [*zip(lows, own)] * 2:
+        assert [scorer.names[k] for k in scorer.hits(low)] == [f for f in weights if f in features]
+
+
+def test_strings_of_characters_are_counted_as_plain_ones():
+    words = {"a": 2, "été": 1, "stupid": 5, "日本": 3, "aaa": 1}
+    want = {" ": 12, "  ": 12}
+    for word, n in words.items():
+        word = f"  {word} "
+        for k in range(2, len(word)):
+            for size in range(3):
+                gram = word[k - size : k + 1]
+                want[gram] = want.get(gram, 0) + n
+    assert CharacterModel.count(words) == want and CharacterModel.count([]) == {}
+
+
+def test_flags_do_not_depend_on_the_texts_beside():
+    lows = ["tail a", "1 head", "aa", "a", "go s", " u", "x", "h3llo"]
+    assert disguised(lows).tolist() == [bool(disguised([x])[0]) for x in lows] == [False] * 7 + [True]
+
+
+def test_a_disguised_word_is_read_once(monkeypatch):
+    model = CharacterModel(CharacterModel.count(["stupid", "the", "way"]))
+    want = restore("the stuuupid w4y, s.t.u.p.i.d", model)
+    calls = []
+    monkeypatch.setattr(toxic_words, "viterbi", lambda *x: calls.append(x) or viterbi(*x))
+    model = CharacterModel(model.counts)
+    assert restore("the stuuupid w4y, s.t.u.p.i.d\n" * 50, model) == (want + "\n") * 50 and len(calls) == 3
+
+
 def test_regression_at_any_number_of_documents():
     rng = np.random.default_rng(8)
     kinds = [(int(y), sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist())) for y in rng.integers(0, 2, 40)]
