@@ -169,9 +169,11 @@ class TokenIds:
         if self.folds:  # nor does the space before a word matter
             starts = starts + ((data[starts] == 0x20) & (stops - starts > 1))
         hashes = K.word_hash(data, starts, stops)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        first, which = K.alike(hashes)
         if not K.same_bytes(data, starts, stops, first[which]):
-            return self.encode([x.decode() for x in raw])
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            if not K.same_bytes(data, starts, stops, first[which]):
+                return self.encode([x.decode() for x in raw])
         flat = data.tobytes()
         found = self.look_up([flat[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
         size = np.array([len(x) for x in found]) // 4

@@ -113,6 +113,21 @@ def test_suffix_dedup(docs, texts, length, gram, hot):
     assert got == dict(enumerate(repeats(texts, length)))
 
 
+def test_pieces_are_told_apart_whatever_their_hashes_share(monkeypatch):
+    rng = np.random.default_rng(4)
+    for hashes in (rng.integers(0, 1 << 63, 5000, np.uint64)[rng.integers(0, 5000, 9000)], np.zeros(7, np.uint64), np.zeros(0, np.uint64), np.array([(1 << 64) - 1, 0, (1 << 64) - 1], np.uint64)):
+        first, which = K.alike(hashes)
+        _, place, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        assert first.tolist() == place.tolist() and which.tolist() == kind.tolist()
+    ids = TokenIds(BYTES)
+    texts = ["the cat sat on the mat, the end.", "a b a b c", "", "on the mat"]
+    want = [x[:-1].tobytes() for x in ids_of(BYTES, texts)]
+    hashed = K.word_hash
+    for shift in (40, 63):  # hashes that differ in their lowest bits alone, and hardly at all
+        monkeypatch.setattr(K, "word_hash", lambda *x, shift=shift: hashed(*x) >> np.uint64(shift))
+        assert ids.many(texts) == want
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup(no_docs).count() == 0
 
