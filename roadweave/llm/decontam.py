@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm import textkernel as K
-from roadweave.llm.shared import chunks, text
+from roadweave.llm.shared import chunks, give_back, text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs, and share of the weight of question and answer each.
@@ -277,12 +277,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         held = spark.sparkContext.broadcast(index)
 
         def run(batches, held=held):
+            give_back()
             index = held.value
             for _, chunk in chunks(batches):
                 ids = chunk.column("doc_id").to_pylist()
                 found = [(ids[d], index.ids[item], round(score, 6), round(q, 6), round(a, 6), at, int(q >= overlap and a >= overlap)) for d, item, score, q, a, at in search(index, chunk.column("text"), threshold)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), FOUND_ARROW)], schema=FOUND_ARROW)
+            give_back()
 
         part = source.mapInArrow(run, FOUND)
         out = part if out is None else out.union(part)

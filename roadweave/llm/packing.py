@@ -60,6 +60,7 @@ class BestFit:
 
 def _pieces(tokenizer: str, size: int):
     def run(batches):
+        trim()
         tokens = token_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:

@@ -5,14 +5,15 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
 from roadweave.llm import textkernel as K
 from roadweave.llm.shared import HELD
 
-#: Pieces kept by a worker, in two generations, and the longest one kept; bytes of text that are cut at once.
-KEPT, LONGEST, RUN = 1_200_000, 48, 4 << 20
+#: Pieces kept by a worker, in two generations, and the longest one kept; bytes of text that are cut at once, and pieces that are encoded at once.
+KEPT, LONGEST, RUN, FRESH = 1_200_000, 48, 1 << 20, 1 << 12
 #: Letters and digits that stay one letter or digit in any case and beside any sign: ASCII and Latin ones. Capital dotted I becomes two characters.
 PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 LETTERS = re.compile(f"[{PLAIN.removeprefix('0-9')}]+")
@@ -70,6 +71,54 @@ def may_cut(spec: dict) -> bool:
     return bool(known) and parts[0].get("pattern") == {"Regex": WORDS_APART} and parts[0]["invert"] and not parts[-1].get("use_regex", True)
 
 
+def spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    upto = np.cumsum(size)
+    at = np.repeat((starts - upto + size).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
+
+
+class Known:
+    """Pieces and their ids in arrays, about 40 bytes for each: a piece is found by its hash, and its bytes are compared."""
+
+    def __init__(self, kind: np.dtype):
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # ascending, and the number of the piece
+        self.start, self.size, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(8, np.uint8)
+        self.at, self.n, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint16), np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each piece's first id in ``ids`` and their number, -1 if it isn't here."""
+        at, n = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
+        if len(self):
+            near = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+            own = self.slot[near]
+            hit = np.flatnonzero((self.hashes[near] == hashes) & (self.size[own] == size))
+            hit = hit[K.equal_spans(data, starts[hit], self.text, self.start[own[hit]], size[hit])]
+            at[hit], n[hit] = self.at[own[hit]], self.n[own[hit]]
+        return at, n
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Takes pieces of distinct hashes, but for those whose hash another piece has here."""
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        if len(self):
+            free = self.hashes[np.minimum(place, len(self) - 1)] != hashes[order]
+            order, place = order[free], place[free]
+        hashes, starts, size, at, n = (x[order] for x in (hashes, starts, size, at, n))
+        self.slot = np.insert(self.slot, place, np.arange(len(self), len(self) + len(order)))
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.start = np.append(self.start, (len(self.text) - 8 + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.append(self.size, size.astype(np.uint8))
+        self.text = np.concatenate([self.text[:-8], data[spread(starts, size)], self.text[-8:]])
+        self.at = np.append(self.at, (len(self.ids) + np.cumsum(n) - n).astype(np.int32))
+        self.n = np.append(self.n, n.astype(np.uint16))
+        self.ids = np.append(self.ids, ids[spread(at, n)])
+
+
 class TokenIds:
     """The ids as little-endian unsigned 32-bit integers, those of ``encode(text, add_special_tokens=False)`` of the whole text.
 
@@ -86,9 +135,9 @@ class TokenIds:
             spec = json.load(file)
         self.cut = may_cut(spec)
         self.folds = self.cut and bool(spec["normalizer"])  # A-Z are a-z, and white space goes
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        kind = np.dtype(np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32)
+        self.known, self.older = Known(kind), Known(kind)
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space, or end a word
         self.edge[[k for token, k in vocab.items() if (token.endswith("</w>") if self.folds else token.startswith("\u0120"))]] = True
         bar = self.tokenizer.encode("a|b", add_special_tokens=False).ids
@@ -130,26 +179,30 @@ class TokenIds:
     def encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def look_up(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        found = list(map(self.known.get, pieces))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if not missing:
-            return found
-        late = [pieces[k] for k in missing]
-        ids = list(map(self.older.get, late))
-        fresh = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(fresh, self.encode_fresh([late[k].decode() for k in fresh])):
-            ids[k] = x
-        for k, x in zip(missing, ids):
-            found[k] = x
-        if len(self.known) + len(late) > KEPT // 2:
-            self.older, self.known = self.known, {}
-        self.known.update(zip(late, ids))
-        for p in late if max(map(len, late)) > LONGEST else ():
-            if len(p) > LONGEST:
-                del self.known[p]
-        return found
+    def encode_slices(self, pieces: Iterator[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each piece, FRESH pieces encoded at once: the library takes over 100 bytes for each id while it encodes."""
+        while own := [p.decode() for p in islice(pieces, FRESH)]:
+            for ids in self.encode_fresh(own):
+                yield np.frombuffer(ids, "<u4").astype(self.known.ids.dtype)
+
+    def look_up(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids among which those of distinct pieces stand, the place of each piece's first one, and their number. Eight bytes follow the text in ``data``."""
+        known, older = self.known, self.older
+        at, n = known.find(hashes, data, starts, size)
+        late = np.flatnonzero(n < 0)
+        at[late], n[late] = older.find(hashes[late], data, starts[late], size[late])
+        at[late] += len(known.ids)
+        fresh = late[n[late] < 0]
+        raw = data.data
+        ids = list(self.encode_slices(raw[a:b].tobytes() for a, b in zip(starts[fresh].tolist(), (starts + size)[fresh].tolist())))
+        n[fresh] = [len(x) for x in ids]
+        at[fresh] = len(known.ids) + len(older.ids) + np.cumsum(n[fresh]) - n[fresh]
+        pool = np.concatenate([known.ids, older.ids, *ids])
+        late = late[size[late] <= LONGEST]
+        if len(known) + len(late) > KEPT // 2:
+            self.older, self.known = known, Known(known.ids.dtype)
+        self.known.add(hashes[late], data, starts[late], size[late], pool, at[late], n[late])
+        return pool, at, n
 
     def run(self, raw: list[bytes]) -> list[bytes]:
         """The ids of texts, cut all at once."""
@@ -174,15 +227,11 @@ class TokenIds:
             _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             if not K.same_bytes(data, starts, stops, first[which]):
                 return self.encode([x.decode() for x in raw])
-        flat = data.tobytes()
-        found = self.look_up([flat[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
-        size = np.array([len(x) for x in found]) // 4
-        base = np.cumsum(size) - size
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+        pool, base, size = self.look_up(hashes[first], data, starts[first], (stops - starts)[first])
         length = size[which]
         upto = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat((base[which] - upto[:-1]).astype(np.int32), length)
-        at += np.arange(upto[-1], dtype=np.int32)
-        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        ids = pool[spread(base[which], length)].astype("<u4", copy=False).tobytes()
         edges = 4 * upto[np.searchsorted(begin_of, np.concatenate([[0], ends]))]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 

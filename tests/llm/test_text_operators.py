@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from roadweave.llm import textkernel as K
+from roadweave.llm import token_ids
 from roadweave.llm.license_scan import BASE, NOTICES, Notice, license_scan, scan_chunk
 from roadweave.llm.lm_scoring import stupid_backoff
 from roadweave.llm.ngram_join import heap_merge, ngram_join
@@ -212,6 +214,28 @@ def test_random_texts_have_the_same_ids(path):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.many(some)] == [x[:-1].tolist() for x in ids_of(path, some)]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_are_kept_in_little_memory(path, monkeypatch):
+    """What a worker remembers takes under 80 bytes a piece; pieces that are dropped, found among the older ones, or encoded in slices have the same ids."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abdegiklmnoprstuv", k=9)) for _ in range(40_000)]
+    texts = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    tokens = TokenIds(path)
+    tracemalloc.start()
+    try:
+        tokens.many(texts)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(tokens.known) >= len(set(words)) - len(texts) and held < 80 * len(words)
+    want = [x[:-1].tobytes() for x in ids_of(path, texts[:8])]
+    monkeypatch.setattr(token_ids, "KEPT", 3000)
+    monkeypatch.setattr(token_ids, "FRESH", 7)
+    tokens = TokenIds(path)
+    for k in (0, 1, 0, 2, 3, 4, 0, 5, 6, 7, 7):
+        assert tokens.many(texts[k : k + 1]) == want[k : k + 1]
+
+
 def test_other_vocabularies_are_not_cut():
     with open(WORDS) as file:
         spec = json.load(file)
