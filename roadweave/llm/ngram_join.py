@@ -30,6 +30,8 @@ SHINGLE, PERCENT = 5, 80
 GROUP_SHINGLES, SHARD_SHINGLES = 1 << 12, 1 << 22
 #: A chunk sends no more than so many documents with the same shingle by name; beyond, only their number.
 HOT = 32
+#: Bytes of documents whose shingles are made at once.
+RUN_BYTES = 1 << 18
 
 ROW = "doc_id long, n_shingles long, class binary, shared binary"
 ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("shared", pa.binary())])
@@ -41,6 +43,17 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     Fewer words than n make one shingle; no words, none.
     """
     data, offsets = K.text_bytes(column)
+    found, first = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, side="right")) - 1)
+        found.append(_sets_of_run(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], n))
+        first = last
+    grams, sizes, other = (np.concatenate(x) for x in zip(*found))
+    return grams, np.concatenate([[0], np.cumsum(sizes)]), other
+
+
+def _sets_of_run(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, with the size of each set in place of offsets."""
     hashes, doc, _ = K.words(data, offsets, K.NOT_SPACE)
     second = K.words(data, offsets, K.NOT_SPACE, salt=K.MIX[1])[0]
     grams, whole = K.ngrams(hashes, doc, n)
@@ -60,7 +73,7 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     grams, other, owner = grams[order], other[order], owner[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return grams[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=docs))]), other[new]
+    return grams[new], np.bincount(owner[new], minlength=docs), other[new]
 
 
 def class_ids(grams: np.ndarray, offsets: np.ndarray, second: np.ndarray) -> list[bytes | None]:
@@ -84,16 +97,18 @@ def _shingle_blocks(nbuckets: int, n: int):
     def make(number, chunk):
         grams, offsets, second = shingle_sets(chunk.column("text"), n)
         classes = class_ids(grams, offsets, second)
+        del second
         sizes = np.diff(offsets)
         ids = chunk.column("doc_id")
         # one document of each class in the chunk speaks for it
         seen: dict[bytes | None, int] = {None: -1}
         speaks = np.array([c not in seen and seen.setdefault(c, k) == k for k, c in enumerate(classes)], bool)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         kept = speaks[owner]
         grams, owner = grams[kept], owner[kept]
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
+        del kept, order
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
         count = np.diff(first, append=len(grams))
         hot = count > HOT
@@ -104,9 +119,11 @@ def _shingle_blocks(nbuckets: int, n: int):
             out.write_batch(table)
         yield -1 - number, 0, number, K.joined(sink.getvalue().to_pybytes(), grams[hot_rows], K.small(owner[hot_rows]))
         unique = grams[first]
+        names = owner[~hot_rows]
+        del grams, owner, first, hot_rows
         sent = np.minimum(count, np.where(hot, 0, count))  # names of documents that follow
         bucket = (unique >> np.uint64(40)) * np.uint64(nbuckets) >> np.uint64(24)
-        names, ends = owner[~hot_rows], np.cumsum(sent)
+        ends = np.cumsum(sent)
         edges = np.searchsorted(bucket, np.arange(nbuckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[b], edges[b + 1])

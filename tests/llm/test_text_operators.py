@@ -16,12 +16,13 @@ import pytest
 from tokenizers import Tokenizer
 
 from roadweave.llm import textkernel as K
+from roadweave.llm import ngram_join as join_module
 from roadweave.llm import token_ids
 from roadweave.llm.license_scan import BASE, NOTICES, Notice, license_scan, scan_chunk
 from roadweave.llm.lm_scoring import stupid_backoff
-from roadweave.llm.ngram_join import heap_merge, ngram_join
+from roadweave.llm.ngram_join import heap_merge, ngram_join, shingle_sets
 from roadweave.llm.packing import BestFit, best_fit_packing, sequences
-from roadweave.llm.suffix_dedup import digest, suffix_dedup
+from roadweave.llm.suffix_dedup import Pieces, digest, suffix_dedup
 from roadweave.llm.token_codes import Codes, Shard, encode, read_codes, token_codes, write_codes
 from roadweave.llm.token_ids import TokenIds, may_cut
 
@@ -130,6 +131,28 @@ def test_pieces_are_told_apart_whatever_their_hashes_share(monkeypatch):
         assert ids.many(texts) == want
 
 
+def test_a_chunk_is_searched_in_little_memory(monkeypatch):
+    """Windows and shingles of a whole chunk in under ten bytes for each of text, and the same whatever the runs."""
+    rng = random.Random(1)
+    column = pa.array([" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(500)) for _ in range(900)])
+    data, offsets = K.text_bytes(column)
+
+    def peak(make):
+        make()  # powers stay
+        tracemalloc.start()
+        try:
+            return make(), tracemalloc.get_traced_memory()[1] / len(data)
+        finally:
+            tracemalloc.stop()
+
+    assert len(data) > 2 << 20
+    assert peak(lambda: Pieces(data, offsets, 204, 32))[1] < 10
+    sets, most = peak(lambda: shingle_sets(column))
+    assert most < 10
+    monkeypatch.setattr(join_module, "RUN_BYTES", 1 << 30)
+    assert all((a == b).all() for a, b in zip(sets, shingle_sets(column), strict=True))
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup(no_docs).count() == 0
 
