@@ -5,6 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from roadweave import queries
+from roadweave.operators import extract
 from roadweave.plans.inference import Cancelled, RoadInference, build_roads, with_lonlat
 from roadweave.plans.params import PRESETS, Params, preset
 
@@ -85,3 +87,32 @@ def test_presets():
     assert preset("unknown") == preset("mixed") and preset("mixed").protect_long_m == 200.0
     with pytest.raises(ValueError):
         Params(method="other")
+
+
+def test_the_registered_run_does_all_rounds_on_all_points(fixes, monkeypatch):
+    """With the plan's own rounds, step, cell and smoothing."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def caught(points, p):
+        seen.append(p)
+        raise Stop
+
+    monkeypatch.setattr(queries, "build_roads", caught)
+    with pytest.raises(Stop):
+        queries.infer_roads_slide(fixes.sparkSession, "/root/testdata/sf0.001")
+    for name in ("slide_min_loops", "slide_max_loops", "resample_k", "cell_tau", "sigma1", "sigma2", "sharpness", "weights"):
+        assert getattr(seen[0], name) == getattr(Params(), name), name
+
+
+def test_sliding_is_dealt_to_many_tasks(fixes, monkeypatch):
+    """A tile's tracks stand in more than one group once they have more points than a task takes, and move alike."""
+    tracks = build_roads(fixes, Params(stop_after="tracks", **FAST)).tracks.selectExpr("0 AS tile", "track_id", "seq", "x", "y")
+    both = []
+    for most in (50, 1 << 30):
+        monkeypatch.setattr(extract, "TASK_POINTS", most)
+        both.append({(r["track_id"], r["seq"]): (r["x"], r["y"]) for r in extract.refine(tracks, 50.0, 2.0, 1.5, rounds=(10, 60)).collect()})
+    assert both[0].keys() == both[1].keys() and len(both[0]) == tracks.count() > 400
+    assert all(np.allclose(both[0][k], both[1][k], atol=1e-6) for k in both[0])
